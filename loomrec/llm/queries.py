@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrec.llm import decontaminate, neardup, secrets, sharding, token_output, toxicity
+from loomrec.llm import ann, decontaminate, neardup, quality, secrets, sharding, token_output, toxicity
 from loomrec.llm.common import ship
 
 
@@ -25,6 +25,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(_docs(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_docs(spark, sf_dir))
 
@@ -45,6 +49,10 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_docs(spark, sf_dir))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def sent(query: Callable) -> Callable:
         @functools.wraps(query)
