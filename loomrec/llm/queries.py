@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrec.llm import ann, decontaminate, neardup, quality, secrets, sharding, token_output, toxicity
+from loomrec.llm import ann, decontaminate, licences, neardup, pieces, quality, secrets, sharding, token_output, toxicity
 from loomrec.llm.common import ship
 
 
@@ -45,6 +45,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_docs(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_docs(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_docs(spark, sf_dir))
 
@@ -53,6 +57,10 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def sent(query: Callable) -> Callable:
         @functools.wraps(query)

@@ -7,9 +7,11 @@ on doc_id. Stripes are read in parallel; a lookup by doc_id prunes stripes and r
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,42 +21,71 @@ from pyspark.sql import functions as F
 from loomrec.llm.common import list_column, scratch
 
 ROW_SCHEMA = "doc_id long, first long, n_tokens long, ids array<int>"
-_CACHE_ENTRIES = 600_000
+_CACHE_ENTRIES = 400_000
 _WHITE_PAIR = re.compile(r"\s\s")
 _loaded: dict[str, object] = {}
 
 
-class _Encoder(dict):
+class _Encoder:
     """Ids of texts as little-endian 32-bit integers.
 
     A word's ids depend on the word alone when single white-space characters stand around
     it: there the tokenizer's own pre-tokenizer always cuts. So such texts are put together
-    from words that the library has encoded once; texts with white space in a row go
-    through the library whole.
+    from words, of which those not met before go through the library in one call a batch;
+    texts with white space in a row go through it whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= _CACHE_ENTRIES:
-            self.clear()
-        self[word] = out = self.whole(word)
-        return out
-
-    def encode(self, text: str) -> bytes:
-        if _WHITE_PAIR.search(text):
-            return self.whole(text)
-        # each cut stands before a single blank, which stays with its word
-        first, *rest = text.split(" ")
-        return b"".join([self[first], *map(self.__getitem__, [" " + x for x in rest])]) if rest else self.whole(text)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        blank = min((k for k, v in vocabulary.items() if v == self._ids(" ")[0]), key=len)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a blank
+        self.opens[[v for k, v in vocabulary.items() if k.startswith(blank)]] = True
+        self.words: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """Keeps the ids of words, each with a blank before it.
+
+        A comma or full stop after letters is a token of its own, so those letters are learnt once for all.
+        """
+        known = self.words
+        new = [w for w in words if w and w not in known]
+        ended = [w for w in new if w[-1] in ",." and w[:-1].isalpha()]
+        bare = list({w[:-1] for w in ended}.difference(known).union(w for w in new if w[-1] not in ",." or not w[:-1].isalpha()))
+        known[""] = self.whole([" "])[0]
+        for a in range(0, len(bare), 4096):
+            some = bare[a : a + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) == len(some):
+                data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
+                known.update(zip(some, map(data.__getitem__, map(slice, (4 * cuts).tolist(), ends)), strict=True))
+            else:  # not a vocabulary in which every word begins with its blank
+                known.update(zip(some, self.whole([" " + w for w in some]), strict=True))
+        end = dict(zip(",.", self.whole([",", "."]), strict=True))
+        known.update([(w, known[w[:-1]] + end[w[-1]]) for w in ended])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [None if _WHITE_PAIR.search(x) else x.split(" ") for x in texts]
+        heads = [x if s is None else s[0] for x, s in zip(texts, split, strict=True)]
+        first = self.whole(heads)
+        rest = [s[1:] if s else [] for s in split]
+        if len(self.words) > _CACHE_ENTRIES:
+            # frequent words come early: those stay
+            self.words = dict(islice(self.words.items(), _CACHE_ENTRIES // 2))
+        self.learn(set().union(*rest))
+        of = self.words.__getitem__
+        return [b"".join([a, *map(of, r)]) for a, r in zip(first, rest, strict=True)]
 
 
 def _encoder(path: str) -> _Encoder:
@@ -69,7 +100,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, before = _encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
-            encoded = [encoder.encode(x or "") + end for x in batch.column("text").to_pylist()]
+            encoded = [x + end for x in encoder.encode([x or "" for x in batch.column("text").to_pylist()])]
             sizes = np.fromiter((len(x) // 4 for x in encoded), np.int64, len(encoded))
             ends = np.cumsum(sizes)
             ids = np.frombuffer(b"".join(encoded), "<i4")
