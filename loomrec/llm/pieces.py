@@ -247,7 +247,7 @@ def encode(docs: DataFrame, model_path: str, *keep: str) -> DataFrame:
 
 
 def decode(coded: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 and the text of rows of ids."""
+    """doc_id, n_pieces, ids, ids_crc32 and the text of rows of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel.load(model_path)
@@ -257,9 +257,9 @@ def decode(coded: DataFrame, model_path: str) -> DataFrame:
             parts = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             sums = pa.array([zlib.crc32(x.astype("<i4", copy=False).tobytes()) for x in parts], pa.int64())
             texts = pa.array([model.decode(x.tolist()) for x in parts], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_pieces"), sums, texts], names=["doc_id", "n_pieces", "ids_crc32", "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "n_pieces", "ids")), sums, texts], names=["doc_id", "n_pieces", "ids", "ids_crc32", "text"])
 
-    return coded.select("doc_id", "n_pieces", "ids").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, text string")
+    return coded.select("doc_id", "n_pieces", "ids").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, text string")
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
