@@ -311,7 +311,8 @@ def nl_similar(spark, sf):
 _NL = f"""with {ITEMS}, long as (select id, sid, categories, unnest(string_split(genres, ',')) as genre from items),
 big as (select * from long where genre in (select genre from long group by genre having count(*) >= 60)) """
 _NICE = "case when {0} = upper({0}) and {0} <> lower({0}) then {0} else lower({0}) end"
-_ART = "case when lower(substr({0}, 1, 1)) in ('a','e','i','o','u') then 'an' else 'a' end"
+_ART = """case when length({0}) > 1 and {0} = upper({0}) and {0} <> lower({0}) then case when substr({0}, 1, 1) in ('F','H','I','L','M','N','O','R','S','X') then 'an' else 'a' end
+when lower(substr({0}, 1, 1)) in ('a','e','i','o','u') then 'an' else 'a' end"""
 
 
 def _nl(spark, sf, kind: str) -> DataFrame:
