@@ -387,7 +387,32 @@ def _dataset(spark, sf) -> DataFrame:
     return tasks.build(_pairs(spark, sf), _partners(spark, sf), fx.items(spark, sf), min_genre=60, min_combo=15)
 
 
-@query(None)
+def _balanced_sql(name: str, source: str, target: str, key: str, keys: str, floor: int, ceiling: int) -> str:
+    """CTEs name_r, name_c and name: rows of source cut to ceiling and filled up to floor by copies."""
+    drawn = pick_sql("c.n", "clone", "c.target", "cast(c.copy as varchar)")
+    return f"""{name}_r as (select {target} as target, {key}, count(*) over (partition by {target}) as n, row_number() over (partition by {target} order by {hash_sql('ceiling', target, keys)}, {key}) as r from {source}),
+{name}_c as (select target, n, unnest(range(1, {floor} - n + 1)) as copy from (select distinct target, n from {name}_r where n < {floor})),
+{name} as (select target, {key}, 0 as copy from {name}_r where r <= {ceiling}
+  union all select c.target, {key}, c.copy from {name}_c c join {name}_r x on x.target = c.target and x.r = {drawn} + 1)"""
+
+
+_SFT = f"""with {PAIRS}{COOC[len(SEQ) :]}, named as (select partner, item || ':' || partner as key from partner),
+{_balanced_sql('bal', 'pairs', 'target', 'user_id, pos', "user_id, cast(pos as varchar)", 5, 50)},
+{_balanced_sql('sim', 'named', 'partner', 'key', 'key', 3, 20)},
+nl as (select key from ({ORACLE['nl_genre']}) union all select key from ({ORACLE['nl_genre_pair']}) union all select key from ({ORACLE['nl_genre_category']})),
+seqs as (select target, user_id || case when copy > 0 then '#' || copy else '' end || ':' || pos as key from bal),
+pool as (select 'sequential' as task, target, key, 0 as copy from seqs union all select 'asy', target, key, 0 from seqs
+  union all select 'similar_item', target, key, copy from sim union all select 'nl_similar_item', target, key, copy from sim
+  union all select 'nl_preference', regexp_extract(key, '[^:]*$'), key, 0 from nl),
+capped as (select * from (select *, row_number() over (partition by target order by {hash_sql('exposure', 'target', 'task', 'key', 'cast(copy as varchar)')}, task, key, copy) as r from pool) where r <= 40),
+grp as (select task, target, row_number() over (partition by task order by {hash_sql('group', 'target')}, target) as k, count(*) over (partition by task) as n from (select distinct task, target from capped))
+select task, case when k <= greatest(1, cast(floor(n * 0.05::double) as bigint)) then 'val' else 'train' end as split, count(*) as n, count(distinct target) as targets
+from capped join grp using (task, target) group by all
+union all select t.task, s.split, s.f * (select count(*) from part), (select count(*) from part)
+from (values ('grounding_id2name'), ('grounding_name2id')) t(task), (values ('val', 1), ('train', 9)) s(split, f)"""
+
+
+@query(_SFT)
 def sft_dataset(spark, sf):
     return _dataset(spark, sf).groupBy("task", "split").agg(F.count("*").alias("n"), F.count_distinct("_target").alias("targets"))
 
