@@ -61,22 +61,27 @@ def anchored(docs: DataFrame, wins: DataFrame) -> DataFrame:
     often = seen.join(keys, "key", "left_semi").groupBy("key").agg(F.count("*").alias("often"))
     ranked = placed.join(often, "key", "left").select("words", "key", "offset", F.coalesce("often", F.lit(0)).alias("often"))
     first = ranked.groupBy("words").agg(F.min(F.struct("often", "offset", "key")).alias("first"))
-    return wins.join(first, "words").select("words", "items", F.size("words").alias("len"), F.col("first.key").alias("key"), F.col("first.offset").alias("offset"))
+    return wins.join(first, "words").select(F.array_join("words", " ").alias("joined"), "items", F.size("words").alias("len"), F.col("first.key").alias("key"), F.col("first.offset").alias("offset"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """_row, doc_id, n_words and, of each occurrence of a window, span (start, len) and items; one row at least for each row of docs."""
     wins = materialize(anchored(docs, materialize(windows(benchmark, width), "windows")), "anchors")
     blocks = max(1, -(-wins.count() // BROADCAST_WINDOWS))
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), split_words(F.col("text")).alias("own"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows if blocks == 1 else materialize(rows, "numbered")  # row numbers hold for one reading only
+    rows = rows.select("_row", "doc_id", split_words(F.col("text")).alias("own"))
     rows = rows.select("_row", "doc_id", "own", F.posexplode("own").alias("pos", "word")).withColumn("key", _key(F.col("word")))
     start = F.col("pos") - F.col("offset")
-    inside = F.slice("own", F.greatest(start, F.lit(0)) + 1, F.col("len"))
+    # words hold no blanks, so texts joined by them are equal when the words are; without a
+    # higher-order function, the comparison stays in the same generated code as the join, and
+    # no row with the whole array is made for a word that isn't hit
+    inside = F.translate(F.array_join(F.slice("own", F.greatest(start, F.lit(0)) + 1, F.col("len")), " "), UPPER, LOWER)
     bounded = F.col("len").isNotNull() & (start >= 0) & (start + F.col("len") <= F.size("own"))
-    same = F.coalesce(F.when(bounded, F.transform(inside, lambda w: F.translate(w, UPPER, LOWER)) == F.col("words")), F.lit(False))
+    same = F.coalesce(F.when(bounded, inside == F.col("joined")), F.lit(False))
     out = None
     for k in range(blocks):
-        block = wins if blocks == 1 else wins.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k)
+        block = wins if blocks == 1 else wins.where(F.pmod(F.xxhash64("joined"), F.lit(blocks)) == k)
         # a document's first word stands for it, so that documents without a hit stay
         found = rows.join(F.broadcast(block), "key", "left").withColumn("same", same).where("same or pos = 0")
         span = F.when(F.col("same"), F.struct(start.alias("start"), F.col("len").alias("len")))
