@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomrec.llm.common import materialize
+from loomrec.llm.common import materialize, tidy
 
 SHARD_ROWS = 4096
 QUERY_BLOCK = 2048
@@ -189,7 +189,7 @@ def index(rows: DataFrame, shard_rows: int = SHARD_ROWS, keep: int = 6) -> DataF
                 data = [[shard], [ids[first].tobytes()], [x[first].tobytes()], [ids[order].tobytes()], [starts.astype(np.int64).tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(data[0], pa.int32()), *(pa.array(v, pa.binary()) for v in data[1:]), pa.array([layers], kind)], names=["shard", "ids", "vectors", "members", "starts", "layers"])
 
-    return dealt.select("shard", "rows").mapInArrow(run, GRAPH)
+    return dealt.select("shard", "rows").mapInArrow(tidy(run), GRAPH)
 
 
 def _found(k: int, beam: int):
@@ -236,6 +236,6 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shard_rows: int = S
     asked = asked.groupBy(F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(blocks)).cast("int").alias("block"), F.size("embedding").alias("dim")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("rows"))
     pairs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = pairs.repartition(parts, F.xxhash64("shard", "block", "dim")).select("ids", "vectors", "members", "starts", "layers", "rows").mapInArrow(_found(k, beam), "query_id long, vec_id long, score double")
+    found = pairs.repartition(parts, F.xxhash64("shard", "block", "dim")).select("ids", "vectors", "members", "starts", "layers", "rows").mapInArrow(tidy(_found(k, beam)), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

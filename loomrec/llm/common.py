@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,16 +70,35 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[starts[0] : starts[-1]], starts - starts[0]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives unused memory back at the end of a task: Python workers live on, and several share an executor."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
+
+
 def list_column(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and n + 1 offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, type=kind))
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session's context: their Python may not find it otherwise."""
+    """Sends this package to the executors, once a session's context: their Python may not find it otherwise.
+
+    It also bounds the rows and bytes that go to Python at once, as texts may be long.
+    """
     import shutil
     from pathlib import Path
 
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     context = spark.sparkContext
     if getattr(context, "_loomrec_sent", False):
         return

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomrec.llm.common import list_column
+from loomrec.llm.common import list_column, tidy
 from loomrec.llm.shingles import mix
 
 BLANK = "▁"
 #: Words longer than this are merged one by one, by a queue.
 TOGETHER = 128
-_CELLS = 1 << 21
-_CACHE = 300_000
+_CELLS = 1 << 19
+_CACHE = 250_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
 _loaded: dict[tuple[str, str | None], PieceModel] = {}
@@ -50,7 +50,13 @@ class PieceModel:
         self.widest = max(map(len, self.numbers), default=1)
         self.bytes_ = [self.special.get(f"<0x{b:02X}>", self.unknown) for b in range(256)]
         ids = np.array(list(self.numbers.values()), np.int64)
-        keys = np.array([self._hash(np.array([list(map(ord, p))], np.uint64))[0] for p in self.numbers], np.uint64)
+        keys = np.zeros(len(ids), np.uint64)
+        by_length: dict[int, list[int]] = {}
+        names = list(self.numbers)
+        for i, p in enumerate(names):
+            by_length.setdefault(len(p), []).append(i)
+        for at in by_length.values():
+            keys[at] = self._hash(np.array([list(map(ord, names[i])) for i in at], np.uint64))
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
         if len(keys) > 1 and (self.keys[1:] == self.keys[:-1]).any():
@@ -243,7 +249,7 @@ def encode(docs: DataFrame, model_path: str, *keep: str) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
     kinds = "".join(f", {x} {docs.schema[x].dataType.simpleString()}" for x in keep)
-    return rows.mapInArrow(run, f"doc_id long{kinds}, n_pieces long, ids array<int>")
+    return rows.mapInArrow(tidy(run), f"doc_id long{kinds}, n_pieces long, ids array<int>")
 
 
 def decode(coded: DataFrame, model_path: str) -> DataFrame:
@@ -259,14 +265,34 @@ def decode(coded: DataFrame, model_path: str) -> DataFrame:
             texts = pa.array([model.decode(x.tolist()) for x in parts], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "n_pieces", "ids")), sums, texts], names=["doc_id", "n_pieces", "ids", "ids_crc32", "text"])
 
-    return coded.select("doc_id", "n_pieces", "ids").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, text string")
+    return coded.select("doc_id", "n_pieces", "ids").mapInArrow(tidy(run), "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, text string")
 
 
-def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 and text_crc32 of every row of docs: checksums of its ids (as little-endian
-    32-bit integers) and of the UTF-8 of the text decoded from them. Null and empty texts have no
-    pieces and the checksums of nothing. Rows that share a doc_id are coded each for itself.
-    The mark U+2581 in a text is read, and decoded, as a blank. Other columns are ignored.
+def coded(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, n_pieces, ids, ids_crc32 and text_crc32 of every row of docs: encode and decode in one worker.
+
+    The checksums are those of the ids as little-endian 32-bit integers and of the UTF-8 of the
+    text decoded from them. Null and empty texts have no pieces and the checksums of nothing.
+    Rows that share a doc_id are coded each for itself. The mark U+2581 in a text is read, and
+    decoded, as a blank. Other columns are ignored.
     """
-    out = decode(encode(docs, model_path), model_path)
-    return out.select("doc_id", "n_pieces", "ids_crc32", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = PieceModel.load(model_path)
+        for whole in batches:
+            for a in range(0, len(whole), 500):
+                batch = whole.slice(a, 500)
+                data = model.encode([x or "" for x in batch.column("text").to_pylist()])
+                sizes = np.fromiter((len(x) // 4 for x in data), np.int64, len(data))
+                ids = list_column(np.frombuffer(b"".join(data), "<i4"), np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                texts = [zlib.crc32(model.decode(np.frombuffer(x, "<u4").tolist()).encode()) for x in data]
+                columns = [batch.column("doc_id"), pa.array(sizes), ids, pa.array([zlib.crc32(x) for x in data], pa.int64()), pa.array(texts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "ids", "ids_crc32", "text_crc32"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, text_crc32 long")
+
+
+def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
+    """The columns of ``coded`` but for the ids themselves."""
+    return coded(docs, model_path).drop("ids")

@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontaminate.ORACLE}
+    return {"op4_decontamination": decontaminate.ORACLE, "op8_near_duplicates": neardup.ORACLE}

@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         _powers[:] = []
         for base in (_BASE, _BASE_INV):
             p = np.full(size, base)
@@ -86,7 +86,7 @@ def distinct_shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) ->
     return hashes, np.searchsorted(owner, np.arange(len(offsets)))
 
 
-def blocks(offsets: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about size bytes; a longer text is a range of its own."""
     a, n = 0, len(offsets) - 1
     while a < n:
