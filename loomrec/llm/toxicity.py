@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomrec.llm.common import utf8_parts
+from loomrec.llm.common import tidy, utf8_parts
+from loomrec.llm.shingles import blocks
 
 #: Labelled rows that the model is fitted to, at most; all rows are scored.
 FIT_ROWS = 6_000
@@ -67,7 +68,7 @@ def learn_lexicon(texts: list[str], labels: np.ndarray, least: int = 3, odds: fl
 class Odds(dict):
     """The largest log-odds among a word's units; at most ``room`` words are kept."""
 
-    def __init__(self, lexicon: dict[str, float], room: int = 400_000):
+    def __init__(self, lexicon: dict[str, float], room: int = 250_000):
         super().__init__()
         self.lexicon, self.room = lexicon, room
         self.heads = {u[:3] for u in lexicon}
@@ -125,7 +126,9 @@ def word_features(text: str, odds_of: Odds) -> list[float]:
 def features(texts: pa.Array, odds_of: Odds) -> np.ndarray:
     """One row of FEATURES a text; texts has no nulls."""
     words = np.array([word_features(x, odds_of) for x in texts.to_pylist()]).reshape(len(texts), 7)
-    return np.hstack([words, byte_rates(*utf8_parts(texts))])
+    data, offsets = utf8_parts(texts)
+    rates = [byte_rates(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in blocks(offsets)]
+    return np.hstack([words, np.concatenate([np.zeros((0, 6)), *rates])])
 
 
 @dataclass
@@ -281,9 +284,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         odds_of = Odds(own.lexicon)
-        for batch in batches:
+        for batch in (whole.slice(a, 500) for whole in batches for a in range(0, len(whole), 500)):
             scores = own.score(batch.column("text").fill_null(""), odds_of)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
