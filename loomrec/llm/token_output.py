@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomrec.llm.common import list_column, scratch
+from loomrec.llm.common import list_column, scratch, tidy
 
 ROW_SCHEMA = "doc_id long, first long, n_tokens long, ids array<int>"
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES = 1_000_000
 _WHITE_PAIR = re.compile(r"\s\s")
 _loaded: dict[str, object] = {}
 
@@ -59,7 +59,8 @@ class _Encoder:
         A comma or full stop after letters is a token of its own, so those letters are learnt once for all.
         """
         known = self.words
-        new = [w for w in words if w and w not in known]
+        new = words.difference(known)
+        new.discard("")
         ended = [w for w in new if w[-1] in ",." and w[:-1].isalpha()]
         bare = list({w[:-1] for w in ended}.difference(known).union(w for w in new if w[-1] not in ",." or not w[:-1].isalpha()))
         known[""] = self.whole([" "])[0]
@@ -115,7 +116,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame
             )
             before += int(ends[-1]) if len(ends) else 0
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROW_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), ROW_SCHEMA)
 
 
 def write_tokens(
@@ -131,20 +132,15 @@ def write_tokens(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
     rows = rows.repartitionByRange(parts, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
-    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    try:
-        (
-            tokenize(rows, tokenizer_path, end_id)
-            .write.option("orc.bloom.filter.columns", "doc_id")
-            .option("orc.bloom.filter.fpp", "0.01")
-            .option("orc.row.index.stride", str(row_stride))
-            .option("orc.stripe.size", str(stripe_bytes))
-            .option("compression", "zstd")
-            .orc(path)
-        )
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    (
+        tokenize(rows, tokenizer_path, end_id)
+        .write.option("orc.bloom.filter.columns", "doc_id")
+        .option("orc.bloom.filter.fpp", "0.01")
+        .option("orc.row.index.stride", str(row_stride))
+        .option("orc.stripe.size", str(stripe_bytes))
+        .option("compression", "zstd")
+        .orc(path)
+    )
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -177,7 +173,7 @@ def digests(tokens: DataFrame) -> DataFrame:
             sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "start", "n_tokens")), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str) -> DataFrame:
