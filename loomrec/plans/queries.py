@@ -555,8 +555,7 @@ def genre_coherence(spark, sf):
 select x.c0 || '-' || x.c1 as prefix, x.id as a, y.id as b from n x join n y on x.c0 = y.c0 and x.c1 = y.c1 and x.i < y.i where x.n * (x.n - 1) / 2 <= 300""")
 def prefix_pairs(spark, sf):
     rows = fx.codes(spark, sf).select("id", F.concat_ws("-", F.col("codes")[0].cast("string"), F.col("codes")[1].cast("string")).alias("prefix"))
-    few = rows.join(rows.groupBy("prefix").count().where("count * (count - 1) / 2 <= 300").select("prefix"), "prefix", "left_semi")
-    return semantic_ids.pairs_within(few, "prefix", 300, 0)
+    return semantic_ids.pairs_within(rows, "prefix", 300, 0)
 
 
 @query(f"""with {IDS}, g as (select c0 || '-' || c1 as prefix, count(*) as n from ids group by 1 having count(*) >= 5), r as (select *, row_number() over (order by n, prefix) as k, count(*) over () as t from g)

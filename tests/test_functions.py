@@ -1,5 +1,6 @@
 """Functions and operators on small inputs worked out by hand."""
 
+import itertools
 import math
 
 import numpy as np
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loomrec.functions import metrics, schedule, text, vectors
 from loomrec.operators import evaluate, pairs, prep, profile, quantize, rebalance, semantic_ids, tasks, tokenize, trie
+from loomrec.plans import fixtures as fx
+from loomrec.plans.queries import QUERIES
 from loomrec.sources import files
 from loomrec.streaming import examples
 
@@ -175,6 +178,18 @@ def test_pair_sampling(spark):
     assert semantic_ids.random_pairs(rows, 100, 0).count() == 100
 
 
+def test_prefix_pairs_of_large_groups(spark, monkeypatch):
+    """The query draws 300 pairs of a group of more, instead of leaving the group out."""
+    groups = {(1, 1): range(4), (1, 2): range(10, 36), (2, 1): range(100, 160)}
+    rows = [(str(i), [*codes, 0]) for codes, ids in groups.items() for i in ids]
+    monkeypatch.setattr(fx, "codes", lambda spark, sf: spark.createDataFrame(rows, "id string, codes array<int>"))
+    got = [(r.prefix, r.a, r.b) for r in QUERIES["prefix_pairs"](spark, "").collect()]
+    for codes, ids in groups.items():
+        every = set(itertools.combinations(sorted(map(str, ids)), 2))
+        own = [(a, b) for prefix, a, b in got if prefix == f"{codes[0]}-{codes[1]}"]
+        assert len(own) == len(set(own)) == min(300, len(every)) and set(own) <= every
+
+
 def test_trie_and_search(spark):
     paths = spark.createDataFrame([([1],), ([1, 2],), ([1, 2, 3],)], "tokens array<int>")
     edges = trie.edges(paths)
