@@ -7,32 +7,43 @@ on doc_id. Stripes are read in parallel; a lookup by doc_id prunes stripes and r
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomrec.llm.common import list_column, scratch, tidy
-
-ROW_SCHEMA = "doc_id long, first long, n_tokens long, ids array<int>"
-_CACHE_ENTRIES = 1_000_000
-_WHITE_PAIR = re.compile(r"\s\s")
+from loomrec.llm.common import list_column, partitions_for, scratch, tidy, utf8_parts
+
+ROW_SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
+_CACHE_ENTRIES = 1_500_000
+#: Pieces that go through the library as one text.
+_JOINED = 512
+_PLAIN, _LETTER, _STOP, _GAP, _LEAD2, _TAIL, _LEAD4 = (1 << i for i in range(7))
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[33:127] |= _PLAIN
+_KINDS[[*range(65, 91), *range(97, 123)]] |= _LETTER
+_KINDS[list(b",.")] |= _STOP
+_KINDS[[10, 32]] |= _GAP
+_KINDS[0xC3:0xE0] |= _LEAD2
+_KINDS[0x80:0xC0] |= _TAIL
+_KINDS[0xE4:0xF5] |= _LEAD4
 _loaded: dict[str, object] = {}
 
 
 class _Encoder:
     """Ids of texts as little-endian 32-bit integers.
 
-    A word's ids depend on the word alone when single white-space characters stand around
-    it: there the tokenizer's own pre-tokenizer always cuts. So such texts are put together
-    from words, of which those not met before go through the library in one call a batch;
-    texts with white space in a row go through it whole.
+    With a byte-level pre-tokenizer, texts are cut at places where it surely cuts too: before a
+    single blank, around a single line feed, and before a comma or full stop after a letter.
+    Equal pieces are found by Arrow's dictionary encoding; those not met before go through the
+    library, many in one call. Texts that hold an added token, and all texts under other
+    pre-tokenizers, go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -40,53 +51,158 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        blank = min((k for k, v in vocabulary.items() if v == self._ids(" ")[0]), key=len)
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a blank
-        self.opens[[v for k, v in vocabulary.items() if k.startswith(blank)]] = True
-        self.words: dict[str, bytes] = {}
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind["pre_tokenizer"] or {}
+        self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not kind["normalizer"]
+        self.added = [x["content"].encode() for x in kind["added_tokens"]]
+        if self.cuts:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            blank = next(k for k, v in vocabulary.items() if v == self._ids(" ")[0])
+            self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a blank
+            self.opens[[v for k, v in vocabulary.items() if k.startswith(blank)]] = True
+            self.feeds = np.zeros_like(self.opens)
+            self.feeds[self._ids("\n")[:1]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(1 << 20, "<u4"), np.zeros((1 << 18) + 1, np.int64)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> None:
-        """Keeps the ids of words, each with a blank before it.
-
-        A comma or full stop after letters is a token of its own, so those letters are learnt once for all.
-        """
-        known = self.words
-        new = words.difference(known)
-        new.discard("")
-        ended = [w for w in new if w[-1] in ",." and w[:-1].isalpha()]
-        bare = list({w[:-1] for w in ended}.difference(known).union(w for w in new if w[-1] not in ",." or not w[:-1].isalpha()))
-        known[""] = self.whole([" "])[0]
-        for a in range(0, len(bare), 4096):
-            some = bare[a : a + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(some):
-                data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
-                known.update(zip(some, map(data.__getitem__, map(slice, (4 * cuts).tolist(), ends)), strict=True))
-            else:  # not a vocabulary in which every word begins with its blank
-                known.update(zip(some, self.whole([" " + w for w in some]), strict=True))
-        end = dict(zip(",.", self.whole([",", "."]), strict=True))
-        known.update([(w, known[w[:-1]] + end[w[-1]]) for w in ended])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _WHITE_PAIR.search(x) else x.split(" ") for x in texts]
-        heads = [x if s is None else s[0] for x, s in zip(texts, split, strict=True)]
-        first = self.whole(heads)
-        rest = [s[1:] if s else [] for s in split]
-        if len(self.words) > _CACHE_ENTRIES:
-            # frequent words come early: those stay
-            self.words = dict(islice(self.words.items(), _CACHE_ENTRIES // 2))
-        self.learn(set().union(*rest))
-        of = self.words.__getitem__
-        return [b"".join([a, *map(of, r)]) for a, r in zip(first, rest, strict=True)]
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, texts: list[str], opens: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their counts of texts that were joined to one; each but the first begins with an id of opens, left out if drop."""
+        ids = self.whole(["\n".join(texts) if drop else "".join(texts)])[0]
+        at = np.flatnonzero(opens[ids])
+        if len(at) != len(texts) - drop:
+            return None  # not a vocabulary whose ids keep to the pieces
+        if not drop:
+            return ids, np.diff(np.append(at, len(ids)))
+        return np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, at = len(self.known), int(self.ends[len(self.known)])
+        while n + len(pieces) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[at : at + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(pieces)] = at + np.cumsum(sizes)
+        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Keeps the ids of pieces not met before."""
+        texts = [x.decode() for x in pieces]
+        led, bare, rest = [], [], []
+        for i, x in enumerate(texts):
+            inner = x.split()
+            if len(inner) != 1 or "\n" in x:
+                rest.append(i)
+            elif inner[0] == x:
+                bare.append(i)
+            elif x[0] == " " and len(inner[0]) == len(x) - 1:
+                led.append(i)
+            else:
+                rest.append(i)
+        for group, opens, drop in ((led, self.opens, 0), (bare, self.feeds, 1)):
+            for a in range(0, len(group), _JOINED):
+                some = group[a : a + _JOINED]
+                found = self._joined([texts[i] for i in some], opens, drop)
+                if found:
+                    self._keep([pieces[i] for i in some], *found)
+                else:
+                    rest += some
+        for a in range(0, len(rest), _JOINED):
+            some = rest[a : a + _JOINED]
+            ids = self.whole([texts[i] for i in some])
+            self._keep([pieces[i] for i in some], np.concatenate(ids), np.array([len(x) for x in ids]))
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts without nulls, one after the other, and their counts."""
+        data, offsets = utf8_parts(column)
+        n = len(offsets) - 1
+        raw = data.tobytes()
+        aside = np.zeros(n, bool)
+        if not self.cuts:
+            aside[:] = True
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                aside[np.searchsorted(offsets, at, side="right") - 1] = True
+                at = raw.find(token, at + 1)
+        cut = certain_cuts(data)
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+        if aside.any():
+            cut &= ~np.repeat(aside, np.diff(offsets))
+        starts = np.flatnonzero(cut)
+        ahead = np.searchsorted(starts, offsets)  # pieces before each text
+        sizes, ids = np.zeros(n, np.int64), np.zeros(0, "<u4")
+        if len(starts):
+            # a piece ends where the next begins, or its text does
+            ends = np.append(starts[1:], len(data))
+            if aside.any():
+                ends = np.minimum(ends, np.repeat(offsets[1:], np.diff(ahead)))
+            found = _binaries(data, starts, ends).dictionary_encode()
+            if len(self.known) > _CACHE_ENTRIES:
+                self._forget()
+            pieces = found.dictionary.to_pylist()
+            number = [*map(self.known.get, pieces)]
+            if None in number:
+                self.learn([x for x, k in zip(pieces, number, strict=True) if k is None])
+                number = [*map(self.known.__getitem__, pieces)]
+            number = np.array(number, np.int64)
+            low = self.ends[number].astype(np.int32)
+            count = self.ends[number + 1].astype(np.int32) - low
+            at = found.indices.to_numpy()
+            low, count = low[at], count[at]
+            total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+            gather = np.repeat(low - total[:-1].astype(np.int32), count)
+            gather += np.arange(len(gather), dtype=np.int32)
+            ids, sizes = self.ids[gather], np.diff(total[ahead])
+        if aside.any():
+            own = np.split(ids, np.cumsum(sizes)[:-1])
+            for i, x in zip(np.flatnonzero(aside), self.whole([raw[offsets[i] : offsets[i + 1]].decode() for i in np.flatnonzero(aside)]), strict=True):
+                own[i], sizes[i] = x, len(x)
+            ids = np.concatenate(own)
+        return ids, sizes
+
+
+def _binaries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte strings from starts to ends; nothing is copied when each begins where the last one ends."""
+    if len(starts) > 1 and (starts[1:] != ends[:-1]).any():
+        keep = np.zeros(len(data) + 1, np.int8)
+        keep[starts] += 1
+        np.subtract.at(keep, ends, 1)
+        data, sizes = data[np.cumsum(keep[:-1]) > 0], ends - starts
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+    else:
+        cuts = np.append(starts, ends[-1])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def certain_cuts(data: np.ndarray) -> np.ndarray:
+    """Bytes before which a byte-level pre-tokenizer surely cuts, whatever else stands around.
+
+    Beside a blank or line feed must stand a printable ASCII character or one that is surely no
+    white space: of two bytes from U+00C0 on, or, after it, of a lead byte that white space lacks.
+    """
+    cut = np.zeros(len(data), bool)
+    if len(data) < 3:
+        return cut
+    kind = _KINDS[data]
+    before = (kind & _PLAIN) > 0
+    before[1:] |= ((kind[1:] & _TAIL) > 0) & ((kind[:-1] & _LEAD2) > 0)
+    after = (kind & (_PLAIN | _LEAD2 | _LEAD4)) > 0
+    gap = np.zeros(len(data), bool)
+    gap[1:-1] = ((kind[1:-1] & _GAP) > 0) & before[:-2] & after[2:]
+    cut |= gap
+    cut[1:] |= gap[:-1] & (data[:-1] == 10)
+    cut[1:] |= ((kind[1:] & _STOP) > 0) & ((kind[:-1] & _LETTER) > 0)
+    return cut
 
 
 def _encoder(path: str) -> _Encoder:
@@ -96,23 +212,24 @@ def _encoder(path: str) -> _Encoder:
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """doc_id, first (tokens of the rows before it in its partition), n_tokens and ids, end_id last."""
+    """doc_id, part (the number of the row's partition), first (tokens of the rows before it there), n_tokens and ids, end_id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, before = _encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), 0
+        encoder, before, part = _encoder(tokenizer_path), 0, TaskContext.get().partitionId()
         for batch in batches:
-            encoded = [x + end for x in encoder.encode([x or "" for x in batch.column("text").to_pylist()])]
-            sizes = np.fromiter((len(x) // 4 for x in encoded), np.int64, len(encoded))
+            ids, sizes = encoder.encode(batch.column("text").fill_null(""))
+            ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id))
+            sizes = sizes + 1
             ends = np.cumsum(sizes)
-            ids = np.frombuffer(b"".join(encoded), "<i4")
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    pa.array(np.full(len(batch), part, np.int32)),
                     pa.array(before + ends - sizes),
                     pa.array(sizes),
-                    list_column(ids, np.concatenate([[0], ends]), pa.int32()),
+                    list_column(ids.view(np.int32), np.concatenate([[0], ends]), pa.int32()),
                 ],
-                names=["doc_id", "first", "n_tokens", "ids"],
+                names=["doc_id", "part", "first", "n_tokens", "ids"],
             )
             before += int(ends[-1]) if len(ends) else 0
 
@@ -125,11 +242,11 @@ def write_tokens(
     """Writes the ids of docs to ORC files under path, in ascending doc_id order.
 
     Rows of one doc_id are ordered, and spread over files, by a hash of their text. A null
-    doc_id sorts first; null texts count as empty; every row ends with end_id. Columns other
-    than doc_id and text are ignored.
+    doc_id sorts first; null texts count as empty; every row ends with end_id. A text is encoded
+    whole, however long. Columns other than doc_id and text are ignored; an empty table gives
+    files without rows.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_for(docs)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
     rows = rows.repartitionByRange(parts, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
     (
@@ -146,15 +263,14 @@ def write_tokens(
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids of the files under path.
 
-    start counts the ids of all documents before it. A file holds its rows' offsets within
-    the file, so that only one row a file is summed up, from two pruned columns.
+    start counts the ids of all documents before it. Rows hold their offsets within the range
+    partition that wrote them, so that only one row a partition is summed up, from two pruned columns.
     """
-    rows = spark.read.schema(ROW_SCHEMA).orc(path).withColumn("_file", F.col("_metadata.file_name"))
-    files = rows.groupBy("_file").agg(F.sum("n_tokens").alias("_n"))
-    # part files are numbered in the order of the range partitions
-    ahead = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("_file", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
-    joined = rows.join(F.broadcast(files), "_file")  # one row a file: as many as partitions were written
+    rows = spark.read.schema(ROW_SCHEMA).orc(path)
+    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("part").alias("_part"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    joined = rows.join(F.broadcast(parts), F.col("part") == F.col("_part"))  # one row a range partition
     return joined.select("doc_id", (F.col("_base") + F.col("first")).alias("start"), "n_tokens", "ids")
 
 

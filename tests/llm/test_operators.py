@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomrec.llm import ann, components, decontaminate, licences, neardup, pieces, quality, queries, secrets, sharding, token_output, toxicity
 from loomrec.llm.common import ship, utf8_parts
@@ -78,7 +79,6 @@ def test_token_output(docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     want = []
     for i, text in [(r.doc_id, r.text) for r in docs.collect()]:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
@@ -93,18 +93,39 @@ def test_token_output(docs, empty):
     assert token_output.token_files(empty, BPE).count() == 0
 
 
-def test_token_lookup(spark, docs):
+def test_token_files_are_pruned(spark):
+    """Stripes, row index and Bloom filter as the files hold them, and rows that a lookup skips."""
     path = token_output.scratch(spark, "lookup")
-    token_output.write_tokens(docs, path, BPE)
-    assert [r.doc_id for r in token_output.lookup(spark, path, [3]).collect()] == [3]
+    rows = spark.range(6000).select((F.col("id") * 2).alias("doc_id"), F.lit("some words").alias("text")).coalesce(1)
+    token_output.write_tokens(rows, path, BPE, row_stride=1000, stripe_bytes=1)
+    jvm = spark._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = [x.getPath() for x in where.getFileSystem(conf).listStatus(where) if x.getPath().getName().endswith(".orc") and x.getLen() > 1000]
+    reader = jvm.org.apache.orc.OrcFile.createReader(files[0], jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == 1000 and reader.getStripes().size() >= 1
+    kinds = {x.getKind().toString() for x in reader.rows().readStripeFooter(reader.getStripes().get(0)).getStreamsList()}
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8", "DATA"} <= kinds
+    for wanted, found in ((2000, 1), (2001, 0)):  # the second lies inside the range: the Bloom filter tells
+        df = token_output.lookup(spark, path, [wanted])
+        plan = df._jdf.queryExecution().executedPlan()
+        assert plan.executeCollect() is not None and df.count() == found
+        scan = plan.collectLeaves().head()
+        assert scan.metrics().apply("numOutputRows").value() <= found * 1000
 
 
 def test_encoder_matches_library():
     encoder = token_output._encoder(BPE)
     rng = np.random.default_rng(0)
-    texts = ["".join(rng.choice(list("ab \n\t'1.,é　d"), rng.integers(0, 14))) for _ in range(500)]
-    for text, ids in zip(texts, encoder.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == encoder._ids(text)
+    texts = ["".join(rng.choice(list("ab \n\t'1.,é　d×…sΩя日\xa0\r"), rng.integers(0, 14))) for _ in range(3000)]
+    texts += ["hi <|endoftext|> there", "<|endoftext|>", "plain, again.\nAnd so on."]
+    for known in range(2):  # pieces not met before, and met
+        ids, sizes = encoder.encode(pa.array(texts))
+        for text, own in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert own.tolist() == encoder._ids(text)
+    assert encoder._ids("hi <|endoftext|> there") == [5303, 220, 50256, 612]
+    ids, sizes = encoder.encode(pa.array([], pa.string()))
+    assert len(ids) == len(sizes) == 0
 
 
 def test_quality_model_is_a_distribution(spark):
