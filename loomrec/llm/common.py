@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's spark.checkpoint.dir. Where that is unset, as in tests on one
-    machine, a temporary folder is made and set.
+    It is the session's spark.checkpoint.dir. Where that is unset a temporary folder is made
+    and set, if all runs on one machine as in tests; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="loomrec-")
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -40,7 +42,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage is cut, and the files outlive any executor."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables that nothing reads any more."""
+    for table in tables:
+        discard(table.sparkSession, table._scratch)
 
 
 def partitions_for(df: DataFrame, each: int = 32 << 20) -> int:

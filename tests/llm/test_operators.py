@@ -321,37 +321,77 @@ def test_pieces_query(docs, empty):
 
 
 def plain_groups(rows, percent=85):
-    sets = {}
-    for i, text in rows:
+    sets = []
+    for _, text in rows:
         w = (text or "").encode().lower().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    root = {i: i for i in sets}
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    names = sorted(sets)
-    for k, a in enumerate(names):
-        for b in names[:k]:
+    for a in range(len(rows)):
+        for b in range(a):
             common = len(sets[a] & sets[b])
             if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return sorted((i, len(sets[i]), find(i), find(i) == i) for i in sets)
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return sorted((i, len(sets[k]), least[find(k)], least[find(k)] == i) for k, (i, _) in enumerate(rows))
+
+
+LOST = "w194684 w640333 w80354 w478031 w943505 w960834 w26385 w426354 w351320 w523719 w242949"
 
 
 def test_near_duplicates(docs, empty):
-    with_id = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    with_id = docs.where("doc_id is not null")
     assert by_row(neardup.near_duplicates(with_id)) == plain_groups([(r.doc_id, r.text) for r in with_id.collect()])
     assert neardup.near_duplicates(docs).count() == docs.count()
-    assert neardup.near_duplicates(empty).count() == 0
+    assert neardup.near_duplicates(empty).count() == neardup.drop_near_duplicates(empty).count() == 0
     left = neardup.drop_near_duplicates(docs)
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect() if r.doc_id in (7, 8, 9)) == [7]
 
 
+def test_near_duplicates_of_clashing_ids(spark):
+    """Rows of one doc_id go by their texts; sets whose common shingles fall into few buckets are linked too."""
+    rows = [(1, prose(1, 40)), (1, prose(2, 40)), (2, prose(2, 40) + " tail"), (3, prose(3, 40)), (1, prose(1, 40)), (5, LOST), (4, LOST.rsplit(" ", 1)[0]), (6, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_groups(rows)
+    assert by_row(neardup.near_duplicates(df)) == want
+    assert by_row(neardup.near_duplicates(df, exact=True)) == want
+    left = sorted((r.doc_id, r.text or "") for r in neardup.drop_near_duplicates(df).collect())
+    assert left == sorted([(1, prose(1, 40)), (1, prose(2, 40)), (3, prose(3, 40)), (4, rows[6][1]), (6, ""), (6, "")])
+
+
+def test_exact_near_duplicates(spark):
+    """Any percentage, by the least hashes of each set."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for n in range(6, 90, 4):
+        w = [f"t{x}" for x in rng.integers(0, 1 << 40, n)]
+        rows += [" ".join(w[k:]) for k in (0, 1, 2, n // 5, n // 3)]
+    rows = list(enumerate(rows))
+    for percent in (60, 85):
+        assert by_row(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent, exact=True)) == plain_groups(rows, percent)
+
+
+def test_collision_share():
+    """Equal registers of sets without a common shingle are as many as foretold."""
+    rng = np.random.default_rng(2)
+    for n, m in ((40, 40), (300, 250), (5000, 6000)):
+        own = [neardup.registers(rng.integers(0, 1 << 63, k * 40, dtype=np.uint64), np.arange(0, k * 40 + 1, k)) for k in (n, m)]
+        x, y = np.repeat(own[0], 40, 0), np.tile(own[1], (40, 1))
+        used = (x != neardup.EMPTY) | (y != neardup.EMPTY)
+        share = ((x == y) & used).sum() / used.sum()
+        assert abs(share - neardup.collision(np.array([n]), np.array([m]))[0]) < 2.5e-4
+        value, _ = neardup.estimate(x, y, np.full(len(x), n), np.full(len(x), m))
+        assert abs(value.mean()) < 1e-3
+
+
 def test_near_duplicate_chains(spark, monkeypatch):
     """Chains of copies, where the ends aren't linked themselves, over clusters of several blocks."""
     rng = np.random.default_rng(4)
