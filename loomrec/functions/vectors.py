@@ -56,7 +56,8 @@ def linear(c: Column, weights: list[list[float]]) -> Column:
 
 
 def mlp(c: Column, layers: list[list[list[float]]], normalize: bool = False) -> Column:
-    """Bias-free layers with rectifiers between; checks the width it is given."""
+    """Bias-free layers with rectifiers between; a vector of another width than the first layer's ends the query."""
+    c = checked(c, len(layers[0][0]))
     for i, weights in enumerate(layers):
         c = linear(c, weights)
         if i + 1 < len(layers):

@@ -29,29 +29,49 @@ def codebook_arrays(codebook: DataFrame) -> list[np.ndarray]:
 def nearest_rows(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The nearest code of each row, the lowest of equals."""
     out = np.empty(len(x), np.int64)
-    step = max(1, 4_000_000 // max(1, codes.size))
+    norms = (codes**2).sum(1)
+    step = max(1, 4_000_000 // max(1, len(codes)))
     for a in range(0, len(x), step):
-        d = ((x[a : a + step, None, :] - codes[None]) ** 2).sum(2)
-        out[a : a + step] = d.argmin(1)
+        own = x[a : a + step]
+        # distances from products are not exact: where several are all but least, differences decide
+        d = norms - 2 * (own @ codes.T)
+        slack = 1e-9 * (1 + (own**2).sum(1) + norms.max())
+        near = d <= (d.min(1) + slack)[:, None]
+        best = near.argmax(1)
+        for i in np.flatnonzero(near.sum(1) > 1):
+            some = np.flatnonzero(near[i])
+            best[i] = some[((own[i] - codes[some]) ** 2).sum(1).argmin()]
+        out[a : a + step] = best
     return out
 
 
+def _lists(x: np.ndarray) -> pa.Array:
+    """A list column of the rows of a matrix."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+
+
+def _sent(codebook: DataFrame) -> DataFrame:
+    """codebook, to be broadcast where its values, counted first, are at most CODEBOOK_VALUES: most rows may share a code."""
+    head = codebook.agg(F.count("*"), F.max(F.size("vector"))).first()
+    return F.broadcast(codebook) if head[0] * (head[1] or 0) <= CODEBOOK_VALUES else codebook
+
+
 def encode(vectors: DataFrame, codebook: DataFrame, key: str = "id", column: str = "embedding") -> DataFrame:
     """key, codes (one a level) and residual, what is left of the vector after the last level."""
-    books = codebook_arrays(codebook)
+    books = vectors.sparkSession.sparkContext.broadcast(codebook_arrays(codebook))
     kind = vectors.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            x = np.array(batch.column(column).to_pylist(), np.float64)
+            x = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
             codes = []
-            for book in books:
+            for book in books.value:
                 at = nearest_rows(x, book)
                 x = x - book[at]
                 codes.append(at)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.stack(codes, 1).tolist(), pa.list_(pa.int32())), pa.array(x.tolist(), pa.list_(pa.float64()))], names=[key, "codes", "residual"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), _lists(np.stack(codes, 1).astype(np.int32)), _lists(x)], names=[key, "codes", "residual"])
 
     return vectors.select(key, column).mapInArrow(run, f"{key} {kind}, codes array<int>, residual array<double>")
 
@@ -64,7 +84,7 @@ def nearest_code(vectors: DataFrame, codebook: DataFrame, level: int = 0, key: s
 def decode(codes: DataFrame, codebook: DataFrame, key: str = "id") -> DataFrame:
     """key and vector, the sum of its levels' codes."""
     long = codes.select(key, F.posexplode("codes").alias("level", "code"))
-    found = long.join(codebook.select("level", "code", "vector"), ["level", "code"])
+    found = long.join(_sent(codebook.select("level", "code", "vector")), ["level", "code"])
     per = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("level", "vector"))).alias("v"))
     total = F.aggregate(F.slice("v", 2, 1 << 30), F.col("v")[0]["vector"], lambda a, x: add(a, x["vector"]))
     return per.select(key, total.alias("vector"))
@@ -74,6 +94,7 @@ def level_losses(vectors: DataFrame, codes: DataFrame, codebook: DataFrame, beta
     """level, mse (over rows and components) and loss, codebook loss plus beta times commitment, of the residual at each level."""
     start = vectors.select(key, F.transform(column, lambda v: v.cast("double")).alias("r")).join(codes.select(key, "codes"), key)
     levels = codebook.select("level").distinct().count()
+    codebook = _sent(codebook)
     out = None
     for k in range(levels):
         book = codebook.where(F.col("level") == k).select(F.col("code").alias("_c"), F.col("vector").alias("_v"))
@@ -84,6 +105,34 @@ def level_losses(vectors: DataFrame, codes: DataFrame, codebook: DataFrame, beta
     return out
 
 
+def largest_cosine(vectors: DataFrame, key: str = "id", column: str = "embedding", block: int = 2048) -> DataFrame:
+    """One row: pairs of different rows and the largest cosine of one.
+
+    The whole matrix is asked for, so each two blocks of rows meet in one group, as a product of
+    matrices; a row goes to as many groups as there are blocks.
+    """
+    rows = vectors.select(F.col(column).alias("v"), F.xxhash64(key).alias("_h"))
+    blocks = max(1, -(-rows.count() // block))
+    own = rows.withColumn("_b", F.pmod("_h", F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    placed = own.withColumn("_o", other).select(F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("_b") > F.col("_o")).alias("right"), "v")
+
+    def compared(table: pa.Table) -> pa.Table:
+        x = table.column("v").combine_chunks()
+        x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(table), -1)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        right = np.array(table.column("right"), bool)
+        if i == j:
+            found = (x @ x.T)[np.triu_indices(len(x), 1)]
+        else:
+            found = (x[~right] @ x[right].T).ravel()
+        return pa.table({"pairs": pa.array([found.size], pa.int64()), "largest": pa.array([found.max() if found.size else None], pa.float64())})
+
+    per = placed.groupBy("i", "j").applyInArrow(compared, "pairs long, largest double")
+    return per.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.max("largest").alias("largest"))
+
+
 def usage(codes: DataFrame) -> DataFrame:
     """level, code and n."""
     return codes.select(F.posexplode("codes").alias("level", "code")).groupBy("level", "code").agg(F.count("*").alias("n"))

@@ -56,8 +56,14 @@ def health(dense: DataFrame) -> DataFrame:
 def middle_group(ids: DataFrame, least: int = 5, group: str = "prefix") -> DataFrame:
     """The group in the middle by size among those of at least ``least`` rows; ties by its name."""
     per = ids.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    total = per.count()
-    return per.withColumn("_k", F.row_number().over(Window.orderBy("n", group))).where(F.col("_k") == total // 2 + 1).drop("_k")
+    # distinct sizes are few: their sum is at most the number of rows
+    sizes = per.groupBy("n").agg(F.count("*").alias("groups")).orderBy("n").collect()
+    place = sum(r["groups"] for r in sizes) // 2
+    for r in sizes:
+        if place < r["groups"]:
+            return per.where(F.col("n") == r["n"]).orderBy(group).offset(place).limit(1)
+        place -= r["groups"]
+    return per
 
 
 def pairs_within(rows: DataFrame, group: str, cap: int, seed: int, key: str = "id") -> DataFrame:
@@ -88,11 +94,11 @@ def pairs_within(rows: DataFrame, group: str, cap: int, seed: int, key: str = "i
 
 def random_pairs(rows: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
     """n ordered pairs of different rows, drawn with replacement."""
-    from loomrec.functions.determinism import pick
+    from loomrec.functions.determinism import numbered, pick
 
     total = rows.count()
     spark = rows.sparkSession
-    at = rows.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("_i"))
+    at = numbered(rows.select(key), key, seed)
     draws = spark.range(n).withColumn("_x", pick(total, seed, "left", F.col("id")))
     draws = draws.withColumn("_y", (F.col("_x") + 1 + pick(max(1, total - 1), seed, "right", F.col("id"))) % total).withColumnRenamed("id", "draw")
     left, right = (at.select(F.col("_i").alias(c), F.col(key).alias(name)) for c, name in (("_x", "a"), ("_y", "b")))

@@ -461,10 +461,13 @@ def truncated_embedding(spark, sf):
     return fx.vectors(spark, sf).select("id", F.round(cut[0], 6).alias("first"), F.round(cut[7], 6).alias("last"))
 
 
-@query(f"with {_V} select id, round(greatest(0.5 * e[1] - 0.25 * e[2], 0) - greatest(e[3], 0), 6) as a, round(2 * greatest(e[3], 0), 6) as b from v")
+_WEIGHTS = [[((7 * j + 3 * k) % 5 - 2) / 8 for j in range(64)] for k in range(2)]
+
+
+@query(f"""with {_V}, h as (select id, {', '.join(f"greatest(list_sum(list_transform(list_zip(e, {w}), lambda p: p[1] * p[2])), 0) as h{k}" for k, w in enumerate(_WEIGHTS))} from v)
+select id, round(h0 - h1, 6) as a, round(2 * h1, 6) as b from h""")
 def mlp_inference(spark, sf):
-    first = [[0.5, -0.25, 0.0], [0.0, 0.0, 1.0]]
-    out = vectors.mlp(F.slice("embedding", 1, 3), [first, [[1.0, -1.0], [0.0, 2.0]]])
+    out = vectors.mlp(F.col("embedding"), [_WEIGHTS, [[1.0, -1.0], [0.0, 2.0]]])
     return fx.vectors(spark, sf).select("id", F.round(out[0], 6).alias("a"), F.round(out[1], 6).alias("b"))
 
 
@@ -519,35 +522,30 @@ def codebook_health(spark, sf):
     return out.select("level", "codes_used", *(F.round(c, 6).alias(c) for c in ("utilization", "max_code_share", "normalized_entropy")))
 
 
-def _few_codes(spark, sf):
-    """Codes of a batch that leaves some unused."""
-    return _encoded(spark, sf).where(F.col("id") % 17 == 0)
-
-
-@query(f"""with {_ENCODED}, b as (select * from enc where id % 17 = 0), u as (select 0 as level, c0 as code from b union all select 1, c1 from b union all select 2, c2 from b),
+@query(f"""with {_ENCODED}, b as (select * from enc), u as (select 0 as level, c0 as code from b union all select 1, c1 from b union all select 2, c2 from b),
 n as (select level, code, count(*) as n from u group by all), t as (select level, sum(n) as t from n group by level),
 bad as (select book.level, book.code, row_number() over (partition by book.level order by book.code) as k from book left join n using (level, code) join t using (level) where n is null or n / t::double > 0.3),
 need as (select level, count(*) as need from bad group by level),
-don as (select level, id, e, row_number() over (partition by level order by md5(concat_ws('|', '0', 'donor', cast(level as varchar), cast(id as varchar))), id) as k, count(*) over (partition by level) as have from v, range(3) l(level) where id % 17 = 0),
+don as (select level, id, e, row_number() over (partition by level order by md5(concat_ws('|', '0', 'donor', cast(level as varchar), cast(id as varchar))), id) as k, count(*) over (partition by level) as have from v, range(3) l(level)),
 fresh as (select bad.level, bad.code, don.e from bad join need using (level) join don on don.level = bad.level and don.k = bad.k where have >= need)
 select cast(book.level as integer) as level, cast(book.code as integer) as code, fresh.e is not null as reset, round(coalesce(fresh.e, book.v)[1], 6) as first from book left join fresh using (level, code)""")
 def dead_code_reset(spark, sf):
     book = fx.fixed_codebook(spark, sf)
-    donors = fx.vectors(spark, sf).where(F.col("id") % 17 == 0).select(F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"), "id", F.col("embedding").alias("vector"))
-    out = quantize.reset_codes(book, quantize.usage(_few_codes(spark, sf)), donors, 0, 0.3)
+    donors = fx.vectors(spark, sf).select(F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"), "id", F.col("embedding").alias("vector"))
+    out = quantize.reset_codes(book, quantize.usage(_encoded(spark, sf)), donors, 0, 0.3)
     old = book.select("level", "code", F.col("vector").alias("old"))
     return out.join(old, ["level", "code"]).select("level", "code", (F.col("vector") != F.col("old")).alias("reset"), F.round(F.col("vector")[0], 6).alias("first"))
 
 
-@query(f"""with {CATALOG}, draws as (select id as draw, {pick_sql('(select count(*) from catalog)', 'left', 'cast(id as varchar)')} as x, {pick_sql('((select count(*) from catalog) - 1)', 'right', 'cast(id as varchar)')} as o from range(5000) t(id)),
-n as (select id, row_number() over (order by id) - 1 as i, string_split(genres, ',') as g from catalog),
+@query(f"""with {CATALOG}, draws as (select id as draw, {pick_sql('(select count(*) from catalog)', 'left', 'cast(id as varchar)')} as x, {pick_sql('((select count(*) from catalog) - 1)', 'right', 'cast(id as varchar)')} as o from range(50000) t(id)),
+n as (select id, row_number() over (order by {hash_sql('place', 'id')}, id) - 1 as i, string_split(genres, ',') as g from catalog),
 p as (select a.g as g, b.g as h from draws join n a on a.i = x join n b on b.i = (x + 1 + o) % (select count(*) from catalog)),
 j as (select len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h)))::double as j from p)
 select count(*) as pairs, round(avg(j), 6) as mean, round(median(j), 6) as median from j""")
 def genre_coherence(spark, sf):
     cat = fx.catalog(spark, sf)
     sets = cat.where("genres is not null").select("id", text.csv_raw_set(F.col("genres")).alias("genre_set"))
-    out = semantic_ids.coherence(semantic_ids.random_pairs(cat.select("id"), 5000, 0), sets)
+    out = semantic_ids.coherence(semantic_ids.random_pairs(cat.select("id"), 50_000, 0), sets)
     return out.select("pairs", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
 
 
@@ -572,11 +570,10 @@ def kmeans_codebook(spark, sf):
     return train(fx.vectors(spark, sf), LEVELS, CODES).select("level", "code", F.size("vector").alias("width"))
 
 
-@query(f"with {_V} select count(*) as pairs, round(max(list_sum(list_transform(list_zip(x.e, y.e), lambda p: p[1] * p[2]))), 6) as largest from v x, v y where x.id < y.id and x.id < 40 and y.id < 40")
+@query(f"with {_V} select count(*) as pairs, round(max(list_sum(list_transform(list_zip(x.e, y.e), lambda p: p[1] * p[2]))), 6) as largest from v x, v y where x.id < y.id")
 def pairwise_cosine(spark, sf):
-    v = fx.vectors(spark, sf).where("id < 40").withColumn("embedding", vectors.l2_normalize(F.col("embedding")))  # a check on as many vectors as one group of tokens has
-    a, b = v.select(F.col("id").alias("a"), F.col("embedding").alias("x")), v.select(F.col("id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).agg(F.count("*").alias("pairs"), F.round(F.max(vectors.dot(F.col("x"), F.col("y"))), 6).alias("largest"))
+    out = quantize.largest_cosine(fx.vectors(spark, sf))
+    return out.select("pairs", F.round("largest", 6).alias("largest"))
 
 
 @query(None)
@@ -609,11 +606,11 @@ def trie_edges(spark, sf):
     return trie.edges(_paths(spark, sf))
 
 
-@query(f"""with {_TRIE}, q as (select distinct prefix from trie where prefix = '' or prefix like '0_1' or prefix like '0_1 1_2%' union select 'no such')
+@query(f"""with {_TRIE}, q as (select distinct prefix from trie union select 'no such')
 select q.prefix, array_to_string(list_sort(list(distinct case when token is null or token = '-1' then '</s>' else token end)), ' ') as allowed from q left join trie using (prefix) group by q.prefix""")
 def allowed_tokens(spark, sf):
     edges = trie.edges(_paths(spark, sf))
-    some = edges.select("prefix").where("prefix = '' or prefix = '0_1' or prefix like '0_1 1_2%'").union(spark.range(1).select(F.lit("no such")))
+    some = edges.select("prefix").union(spark.range(1).select(F.lit("no such")))
     return trie.allowed(some, edges, "</s>").select("prefix", F.array_join("allowed", " ").alias("allowed"))
 
 
@@ -639,10 +636,9 @@ def beam_search(spark, sf):
 
 
 def _held_out(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Histories without the last item of each user, and that item."""
+    """Interactions but the last item of each user, and that item."""
     seq = fx.seq(spark, sf).where("n >= 2")
-    inside = seq.where("pos < n").groupBy("user_id").agg(F.collect_list("item_id").alias("item_sequence"))
-    return inside, seq.where("pos = n").select(F.lit("sequential").alias("task"), F.col("user_id").alias("query"), F.col("item_id").alias("target"))
+    return seq.where("pos < n"), seq.where("pos = n").select(F.lit("sequential").alias("task"), F.col("user_id").alias("query"), F.col("item_id").alias("target"))
 
 
 _HELD = SEQ + """, pop as (select item_id, row_number() over (order by count(*) desc, item_id) as r from seq where n >= 2 and pos < n group by item_id),
@@ -655,7 +651,7 @@ from held left join pop using (item_id), k group by k""")
 def recall_ndcg_popularity(spark, sf):
     """Flagship: the popularity baseline on each user's held-out last item."""
     inside, targets = _held_out(spark, sf)
-    top = [r["id"] for r in evaluate.most_popular(inside, 10).collect()]  # ten ids
+    top = evaluate.popular_items(inside, 10)
     out = evaluate.metrics(evaluate.with_popular(targets, top))
     return out.select("task", "k", "n", F.round("recall", 6).alias("recall"), F.round("ndcg", 6).alias("ndcg"))
 
@@ -676,7 +672,7 @@ def name_mapped_metrics(spark, sf):
     return out.select("task", "k", "n", F.round("recall", 6).alias("recall"), F.round("ndcg", 6).alias("ndcg"))
 
 
-@query(f"""with {ITEMS}, q as (select id as query, string_split(genres, ',')[1] as g, string_split(categories, ',')[1] as c from items where cast(id as bigint) % 10 = 0),
+@query(f"""with {ITEMS}, q as (select id as query, string_split(genres, ',')[1] as g, string_split(categories, ',')[1] as c from items),
 w as (select query, (cast(query as bigint) + i * 7) % (select count(*) from part) as x, i + 1 as rank, g, c from q, range(10) t(i)),
 hit as (select query, min(rank) as rank from w join items on items.id = cast(x as varchar) where list_contains(string_split(items.genres, ','), g) and (c is null or coalesce(list_contains(string_split(items.categories, ','), c), false)) group by query),
 k as (select unnest([5, 10]) as k)
@@ -684,7 +680,7 @@ select cast(k as integer) as k, count(*) as n, round(avg(case when rank <= k the
 def criteria_metrics(spark, sf):
     rows = fx.items(spark, sf)
     total = rows.count()
-    asked = rows.where(F.col("id").cast("long") % 10 == 0).select(F.col("id").alias("query"), F.array(F.split("genres", ",")[0]).alias("genres"), F.when(F.col("categories").isNotNull(), F.array(F.split("categories", ",")[0])).alias("categories"))
+    asked = rows.select(F.col("id").alias("query"), F.array(F.split("genres", ",")[0]).alias("genres"), F.when(F.col("categories").isNotNull(), F.array(F.split("categories", ",")[0])).alias("categories"))
     wished = asked.select("query", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("query", (F.col("i") + 1).alias("rank"), ((F.col("query").cast("long") + F.col("i") * 7) % total).cast("string").alias("id"))
     sids = rows.select("id", "sid")
     candidates = wished.join(sids, "id", "left").select("query", "rank", F.col("sid").alias("candidate"))
@@ -709,9 +705,9 @@ def lr_schedule(spark, sf):
 _TOKENS = r"""tok as (select doc_id, list_transform(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''), lambda w: cast(cast('0x' || substr(md5(w), 1, 8) as bigint) % 29999 + 1 as integer)) as ids from documents)"""
 
 
-@query(f"""with {_TOKENS} select doc_id, cast(least(len(ids), 64) as integer) as length, cast(64 - least(len(ids), 64) as integer) as padding, cast(coalesce(list_sum(ids[1:64]), 0) as bigint) as total, ids[least(len(ids), 64)] as last from tok""")
+@query(f"""with {_TOKENS} select doc_id, cast(least(len(ids), 2000) as integer) as length, cast(2000 - least(len(ids), 2000) as integer) as padding, cast(coalesce(list_sum(ids[1:2000]), 0) as bigint) as total, ids[least(len(ids), 2000)] as last from tok""")
 def tokenize_pad(spark, sf):
-    df = tokenize.padded(tokenize.word_ids(table(spark, sf, "documents").select("doc_id", "text"), "text"), 64)
+    df = tokenize.padded(tokenize.word_ids(table(spark, sf, "documents").select("doc_id", "text"), "text"))
     total = F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x)
     mask = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
     return df.select("doc_id", mask.alias("length"), (F.size("input_ids") - mask).alias("padding"), total.alias("total"), vectors.last_token(F.col("input_ids"), F.col("attention_mask"), F.lit(False)).alias("last"))
