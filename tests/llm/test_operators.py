@@ -444,14 +444,16 @@ def test_nearest(spark):
 
 
 @pytest.fixture(scope="module")
-def licence_model(spark):
-    return licences.train(spark)
+def licence_model(spark, docs):
+    return licences.train(spark, docs=docs)
 
 
 def test_licences(docs, empty, licence_model):
     got = {(r.doc_id, r.licences, r.n_licences) for r in licences.scan_licences(docs, model=licence_model).collect()}
     assert {x for x in got if x[2]} == {(12, "MIT", 1)} and len(got) == len(TEXTS) + 1
     assert licences.scan_licences(empty, model=licence_model).count() == 0
+    assert licence_model.held_out["families"] >= 0.95 and licence_model.held_out["unknown"] >= 0.98
+    assert licences.train(empty.sparkSession, docs=empty).families[0] == licences.UNKNOWN
 
 
 def test_licence_families(spark, licence_model):
@@ -460,3 +462,48 @@ def test_licence_families(spark, licence_model):
     got = {r.doc_id: r.licences for r in licences.scan_licences(texts, model=licence_model).collect()}
     assert sum(got[n] == k for n, (k, _, _) in enumerate(rows)) >= 0.95 * len(rows)
     assert all(got[500 + n] == "" for n in range(len(licences.OTHERS)))
+
+
+def test_wrapped_notices(spark, licence_model):
+    """Notices wrapped at 70 columns, alone or amid other lines, and in capitals."""
+    import textwrap
+
+    rows = []
+    for k, v in licences.TEMPLATES.items():
+        for t in v:
+            lines = textwrap.wrap(t, 70)
+            for before, after in ((0, 0), (3, 9), (11, 2)):
+                rows.append((k, "\n".join([*(prose(i, 9) for i in range(before)), *lines, *(prose(50 + i, 9) for i in range(after))])))
+    rows.append(("BSD", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"))
+    rows.append(("CC-BY-SA", "Distributed under CC BY-SA 4.0"))
+    rows.append(("Public-Domain", "This is free and unencumbered software released into the"))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.scan_licences(df, model=licence_model).collect()}
+    missed = [(k, t) for i, (k, t) in enumerate(rows) if k not in got[i].split(",")]
+    assert len(missed) <= 0.03 * len(rows) and all(x not in missed for x in rows[-3:]), missed
+
+
+def test_cues_leave_out_no_paragraph():
+    """No text with the share of a template's pairs lacks all cue words."""
+    words = set(licences.cues(0.6))
+    for texts in licences.TEMPLATES.values():
+        for t in texts:
+            own = licences._pairs(t)
+            free = [p for p in own if not set(p.split()) & words]
+            assert len(free) / len(own) < 0.6
+
+
+def test_licence_probabilities(spark, licence_model):
+    """Against the regression and the template share in plain Python."""
+    weights = {r.gram: np.array(r.w) for r in licence_model.weights.collect()}
+    texts = [t for v in licences.TEMPLATES.values() for t in v] + list(licences.OTHERS)
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "_row long, _unit int, text string")
+    for r in licences.predict(df, licence_model).collect():
+        w = licences._words(texts[r._row])
+        raw = np.array(licence_model.bias) + sum(weights.get(g, 0) for g in {*w, *licences._pairs(texts[r._row])})
+        p = np.exp(raw - raw.max()) / np.exp(raw - raw.max()).sum()
+        assert licence_model.families[int(p.argmax())] == r.family and abs(p.max() - r.p) < 1e-9
+    share = df.select("_row", licences.template_share(licences.words_of(F.col("text")), F.lit("GPL")).alias("s")).collect()
+    for r in share:
+        own = set(licences._pairs(texts[r._row]))
+        assert abs(r.s - max(len(own & set(licences._pairs(t))) / len(licences._pairs(t)) for t in licences.TEMPLATES["GPL"])) < 1e-12
