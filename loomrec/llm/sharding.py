@@ -1,11 +1,10 @@
 """Operator 6: shards by a hierarchical weighted hash tree.
 
-The tree has regions, racks and shards. Each leaf draws an exponential variate, of a rate
-equal to its weight, from a hash of the document's id and the leaf's name; an inner node's
-draw is the least of those below it and so is exponential with the sum of their weights. A
-document descends to the child with the least draw at each level. When a leaf is added or its
-weight changes, only its own draw and those above it change: rows move only into it, if it
-grew, or out of it, if it shrank.
+The tree has regions, racks and shards. Each node draws an exponential variate from a hash of
+the document's id and the node's own name, of a rate equal to its weight, which is the sum of
+its leaves' weights. A document descends at each level to the child of the least draw, and only
+the children of the node it has come to draw. When a leaf's weight grows or shrinks, only draws
+on the way to it change: rows move into or out of those subtrees, and all others stay.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomrec.llm.common import materialize
+from loomrec.llm.common import materialize, release
 
 RACKS, LEAVES = 3, 4
 
@@ -34,51 +33,61 @@ def topology(n_shards: int, weights: dict[int, float] | None = None) -> list[Lea
     return [Leaf(i, i // (RACKS * LEAVES), i // LEAVES % RACKS, (weights or {}).get(i, 1.0)) for i in range(n_shards)]
 
 
-def _draw(key: Column, leaf: Leaf) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(f"shard-{leaf.shard}")), 11)  # 53 bits
-    return -F.log((bits.cast("double") + 0.5) / F.lit(float(1 << 53))) / F.lit(leaf.weight)
+def grow(leaves: list[Leaf], weight: float = 1.0) -> list[Leaf]:
+    """leaves and one more, in a region of its own: no other node's weight changes, so rows move only into the new shard."""
+    return [*leaves, Leaf(max(x.shard for x in leaves) + 1, max(x.region for x in leaves) + 1, 0, weight)]
 
 
-def _least(columns: list[Column]) -> Column:
-    return F.least(*columns) if len(columns) > 1 else columns[0]
+def _draw(key: Column, name: str, weight: float) -> Column:
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(name)), 11)  # 53 bits
+    return -F.log((bits.cast("double") + 0.5) / F.lit(float(1 << 53))) / F.lit(weight)
 
 
-def _descend(leaves: list[Leaf], levels: tuple[str, ...] = ("region", "rack", "shard")) -> Column:
-    """The shard of the least draw, level by level; draws are in columns _d<shard>."""
-    if len(leaves) == 1:
-        return F.lit(leaves[0].shard)
-    level, *below = levels
-    children: dict[int, list[Leaf]] = {}
-    for leaf in leaves:
-        children.setdefault(getattr(leaf, level), []).append(leaf)
-    draws = {k: _least([F.col(f"_d{x.shard}") for x in v]) for k, v in children.items()}
-    best = _least(list(draws.values()))
-    picks = [(draws[k] == best, _descend(v, tuple(below))) for k, v in children.items()]
-    return reduce(lambda rest, pick: F.when(pick[0], pick[1]).otherwise(rest), reversed(picks[:-1]), picks[-1][1])
+def _least(key: Column, nodes: dict[int, tuple[str, float]]) -> Column:
+    """The number of the node of the least draw, the lower of equals, among nodes of a positive weight."""
+    some = {k: v for k, v in nodes.items() if v[1] > 0}
+    if len(some) == 1:
+        return F.lit(next(iter(some)))
+    return F.array_min(F.array(*(F.struct(_draw(key, *v).alias("draw"), F.lit(k).alias("k")) for k, v in some.items())))["k"]
+
+
+def _shard(rows: DataFrame, key: str, leaves: list[Leaf], name: str) -> DataFrame:
+    """rows with the shard, level by level; of racks and shards only those of the node come to are drawn."""
+
+    def case(picks: list[tuple[Column, Column]]) -> Column:
+        return reduce(lambda rest, pick: F.when(pick[0], pick[1]).otherwise(rest), reversed(picks[:-1]), picks[-1][1])
+
+    c = F.col(key)
+    weight = lambda some: sum(x.weight for x in some)
+    leaves = [x for x in leaves if x.weight > 0]
+    regions = {r: [x for x in leaves if x.region == r] for r in sorted({x.region for x in leaves})}
+    racks = {(r, k): [x for x in own if x.rack == k] for r, own in regions.items() for k in sorted({x.rack for x in own})}
+    rows = rows.withColumn("_region", _least(c, {r: (f"region-{r}", weight(own)) for r, own in regions.items()}))
+    rack = [(F.col("_region") == r, _least(c, {k: (f"rack-{r}-{k}", weight(own)) for (q, k), own in racks.items() if q == r})) for r in regions]
+    rows = rows.withColumn("_rack", case(rack))
+    shard = [((F.col("_region") == r) & (F.col("_rack") == k), _least(c, {x.shard: (f"shard-{x.shard}", x.weight) for x in own})) for (r, k), own in racks.items()]
+    return rows.withColumn(name, case(shard).cast("int")).drop("_region", "_rack")
 
 
 def place(rows: DataFrame, key: str, leaves: list[Leaf], grown: list[Leaf] | None = None) -> DataFrame:
-    """rows with shard int and, when a second tree is given, grown_shard int. A null key is a key like any other."""
-    every = {x.shard: x for x in [*leaves, *(grown or [])]}
-    # a null key leaves the hash of the leaf's name alone
-    drawn = rows.withColumns({f"_d{k}": _draw(F.col(key), x) for k, x in every.items()})
-    out = drawn.withColumn("shard", _descend(leaves).cast("int"))
-    out = out.withColumn("grown_shard", (_descend(grown) if grown else F.lit(None)).cast("int"))
-    return out.drop(*(f"_d{k}" for k in every))
+    """rows with shard int and grown_shard int, null without a second tree. A null key is a key like any other."""
+    rows = _shard(rows, key, leaves, "shard")
+    return _shard(rows, key, grown, "grown_shard") if grown else rows.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 def slots(placed: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     """placed with slot: 0, 1, ... in each shard in the order of doc_id.
 
     doc_id ranges of about bucket_rows rows are numbered apart and the counts of those ahead
-    are added, so that no task holds a shard. Rows of one doc_id are spread by text_crc32 and a row number.
+    (more where there would be over 10,000 ranges) are added, so that no task holds a shard. Rows of one doc_id are spread by text_crc32 and a row number.
     """
-    placed = materialize(placed.withColumn("_row", F.monotonically_increasing_id()), "placed")
+    first = placed = materialize(placed.withColumn("_row", F.monotonically_increasing_id()), "placed")
     total = placed.count()
-    n = max(1, -(-total // bucket_rows))
+    n = min(10_000, max(1, -(-total // bucket_rows)))
     placed = placed.repartitionByRange(n, "doc_id", "text_crc32", "_row").withColumn("_bucket", F.spark_partition_id())
     # the buckets must not change when a partition is computed again
     placed = materialize(placed, "bucketed")
+    release(first)
     inside = Window.partitionBy("_bucket", "shard").orderBy("doc_id", "text_crc32", "_row")
     ahead = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
@@ -102,5 +111,6 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, weights: dict[int, floa
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    placed = place(rows, "doc_id", topology(n_shards, weights), topology(n_shards + 1, weights))
+    leaves = topology(n_shards, weights)
+    placed = place(rows, "doc_id", leaves, grow(leaves))
     return slots(placed).select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
