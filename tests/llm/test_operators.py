@@ -188,8 +188,8 @@ def test_secret_edge_cases():
 def test_random_runs_are_found(spark):
     rng = np.random.default_rng(3)
     alphabet = list(secrets.ALPHABETS["base62"])
-    rows = [(i, prose(i, 60) + " " + "".join(rng.choice(alphabet, 64))) for i in range(60)]
-    rows += [(100 + i, prose(i, 40) + " " + prose(i, 12).replace(" ", "")) for i in range(60)]
+    rows = [(i, prose(i, 160) + " " + "".join(rng.choice(alphabet, 64))) for i in range(60)]
+    rows += [(100 + i, prose(i, 140) + " " + prose(i, 12).replace(" ", "")) for i in range(60)]
     found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
     hits = {r.doc_id for r in found.collect() if r.n_random}
     assert len([i for i in hits if i < 100]) >= 50 and len([i for i in hits if i >= 100]) <= 3
@@ -197,6 +197,46 @@ def test_random_runs_are_found(spark):
     assert {r.doc_id for r in clean.collect() if "[SECRET]" in r.text} == hits
 
 
+def test_single_random_runs(spark):
+    """One run of each encoding in a table of prose is found; runs of words and of digits in order are not."""
+    rng = np.random.default_rng(4)
+    rows = [(i, prose(1000 + i, 200)) for i in range(300)]
+    planted = ("base62", "base64", "hex", "base32", "base64url")
+    rows += [(1000 + k, f"{prose(k, 100)}. {''.join(rng.choice(list(secrets.ALPHABETS[x]), 60 if x != 'hex' else 31))} {prose(k, 30)}") for k, x in enumerate(planted)]
+    rows += [(2000, prose(5, 100) + " 123456789012345678901234567890"), (2001, prose(6, 90) + " " + "abc" * 12), (2002, "/usr/lib/python/site-packages/some/module/name " + prose(7, 90))]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_random}
+    assert set(got) <= set(range(1000, 1005)) and len(got) >= 4
+    assert all(x.startswith("random:") for x in got.values())
+
+
+def test_secret_limits():
+    """Against the rule spelt out: each class apart, and pooled decoys where a class has few."""
+    rng = np.random.default_rng(6)
+    runs = {(int(a), int(b), int(c)): int(n) for a, b, c, n in zip(rng.integers(0, 3, 60), rng.integers(0, 3, 60), rng.integers(0, 201, 60), rng.integers(1, 9, 60), strict=True)}
+    false = {(int(a), int(b), int(c)): int(n) for a, b, c, n in zip(rng.integers(0, 4, 90), rng.integers(0, 2, 90), rng.integers(0, 80, 90), rng.integers(1, 30, 90), strict=True)}
+    got = secrets.limits(runs, false, 0.05)
+    for kind, length in {x[:2] for x in runs}:
+        listed = [x[2] for x in runs if x[:2] == (kind, length) for _ in range(runs[x])]
+        like = [x for x in false if (x[0] == 0) == (kind == 0) for _ in range(false[x])]  # digits alone are encoding 0
+        pool = [x[2] for x in like if x[:2] == (kind, length)]
+        if len(pool) < secrets.LEAST_DECOYS:
+            pool = [x[2] for x in like if x[1] == length]
+        if len(pool) < secrets.LEAST_DECOYS:
+            pool = [x[2] for x in like]
+        p = sorted((1 + sum(d >= s for d in pool)) / (1 + len(pool)) for s in listed)
+        taken = max([k for k in range(1, len(p) + 1) if p[k - 1] <= 0.05 * k / len(p)], default=0)  # Benjamini and Hochberg
+        assert taken == sum(s >= got.get((kind, length), 999) for s in listed)
+
+
+def test_battery_is_fair():
+    """p-values of random symbols are spread evenly."""
+    rng = np.random.default_rng(5)
+    for size, n in ((16, 40), (62, 24), (64, 128)):
+        p = np.array([secrets.battery(rng.integers(0, size, n).tolist(), size) for _ in range(1500)])
+        for low in (0.05, 0.2):
+            assert (abs((p <= low).mean(0) - low) < 0.05).all()
+
+
 def test_redact_keeps_columns(docs):
     out = secrets.redact_secrets(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -274,6 +314,50 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def plain_shard(key, leaves):
+    import xxhash
+
+    def draw(name, weight):
+        seed = 42 if key is None else xxhash.xxh64(int(key).to_bytes(8, "little", signed=True), seed=42).intdigest()
+        bits = xxhash.xxh64(name.encode(), seed=seed).intdigest() >> 11
+        return -np.log((bits + 0.5) / 2.0**53) / weight
+
+    weight = lambda some: sum(x.weight for x in some)
+    region = min({x.region for x in leaves}, key=lambda r: draw(f"region-{r}", weight([x for x in leaves if x.region == r])))
+    own = [x for x in leaves if x.region == region]
+    rack = min({x.rack for x in own}, key=lambda k: draw(f"rack-{region}-{k}", weight([x for x in own if x.rack == k])))
+    return min((x for x in own if x.rack == rack), key=lambda x: draw(f"shard-{x.shard}", x.weight)).shard
+
+
+def test_shards_match_plain_descent(spark):
+    leaves = sharding.topology(24, {3: 2.5, 17: 0.5})
+    rows = spark.createDataFrame([(i,) for i in [None, *range(-5, 700)]], "doc_id long")
+    for r in sharding.place(rows, "doc_id", leaves, sharding.grow(leaves)).collect():
+        assert r.shard == plain_shard(r.doc_id, leaves) and r.grown_shard == plain_shard(r.doc_id, sharding.grow(leaves))
+
+
+def test_movement_is_confined(spark):
+    """A heavier or lighter leaf moves rows into or out of the subtrees above it; elsewhere all stay."""
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    old = sharding.topology(24)
+    for weight in (3.0, 0.25, 0.0):
+        new = sharding.topology(24, {7: weight})
+        moved = [r for r in sharding.place(rows, "doc_id", old, new).where("shard <> grown_shard").collect()]
+        assert moved
+        for r in moved:
+            a, b = old[r.shard], old[r.grown_shard]
+            # the end towards which weight goes lies under the node, the highest one where the ways part, that has gained
+            at = b if weight > 1 else a
+            if a.region != b.region:
+                assert at.region == old[7].region
+            elif a.rack != b.rack:
+                assert a.region == old[7].region and at.rack == old[7].rack
+            else:
+                assert at.shard == 7
+    one_more = sharding.grow(sharding.topology(5))
+    assert {r.grown_shard for r in sharding.place(rows, "doc_id", sharding.topology(5), one_more).where("shard <> grown_shard").collect()} == {5}
+
+
 def test_shard_weights(spark):
     rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
     counts = {r.shard: r["count"] for r in sharding.place(rows, "doc_id", sharding.topology(8, {0: 3.0})).groupBy("shard").count().collect()}
