@@ -55,9 +55,10 @@ def release(*tables: DataFrame) -> None:
 
 def partitions_for(df: DataFrame, each: int = 32 << 20) -> int:
     """Partitions for a shuffle of df: the session's number, or more where that makes them larger than each bytes by the plan's estimate."""
-    # an estimate after joins may be a product of sizes, so it is bounded
-    size = min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 50)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 100_000))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # where Spark knows no size, as of local rows, it takes one beyond all tables
+    return known if size > 1 << 55 else max(known, min(-(-size // each), 100_000))
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -64,14 +64,14 @@ def anchored(docs: DataFrame, wins: DataFrame) -> DataFrame:
     return wins.join(first, "words").select(F.array_join("words", " ").alias("joined"), "items", F.size("words").alias("len"), F.col("first.key").alias("key"), F.col("first.offset").alias("offset"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """_row, doc_id, n_words and, of each occurrence of a window, span (start, len) and items; one row at least for each row of docs."""
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, tie: Column | None = None) -> DataFrame:
+    """_row, doc_id, tie (null unless given), n_words and, of each occurrence of a window, span (start, len) and items; one row at least for each row of docs."""
     wins = materialize(anchored(docs, materialize(windows(benchmark, width), "windows")), "anchors")
     blocks = max(1, -(-wins.count() // BROADCAST_WINDOWS))
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), (F.lit(None).cast("long") if tie is None else tie).alias("tie"), "text")
     rows = rows if blocks == 1 else materialize(rows, "numbered")  # row numbers hold for one reading only
-    rows = rows.select("_row", "doc_id", split_words(F.col("text")).alias("own"))
-    rows = rows.select("_row", "doc_id", "own", F.posexplode("own").alias("pos", "word")).withColumn("key", _key(F.col("word")))
+    rows = rows.select("_row", "doc_id", "tie", split_words(F.col("text")).alias("own"))
+    rows = rows.select("_row", "doc_id", "tie", "own", F.posexplode("own").alias("pos", "word")).withColumn("key", _key(F.col("word")))
     start = F.col("pos") - F.col("offset")
     # words hold no blanks, so texts joined by them are equal when the words are; without a
     # higher-order function, the comparison stays in the same generated code as the join, and
@@ -85,7 +85,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
         # a document's first word stands for it, so that documents without a hit stay
         found = rows.join(F.broadcast(block), "key", "left").withColumn("same", same).where("same or pos = 0")
         span = F.when(F.col("same"), F.struct(start.alias("start"), F.col("len").alias("len")))
-        found = found.select("_row", "doc_id", count_words(F.col("own")).alias("n_words"), span.alias("span"), F.when(F.col("same"), F.col("items")).alias("items"))
+        found = found.select("_row", "doc_id", "tie", count_words(F.col("own")).alias("n_words"), span.alias("span"), F.when(F.col("same"), F.col("items")).alias("items"))
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -112,11 +112,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """docs without the rows whose doc_id is that of a contaminated row; rows without a doc_id stay."""
-    found = materialize(hits(docs, benchmark, width).where("span is not null and doc_id is not null").select("doc_id").distinct(), "contaminated")
+    """docs without the contaminated rows, each judged for itself, with or without a doc_id.
+
+    Null and empty texts stay; an empty table gives an empty one; other columns pass as they are.
+    """
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = hits(docs.select("doc_id", "text"), benchmark, width, tie).where("span is not null").select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"))
+    found = materialize(found.distinct(), "contaminated")
     if found.count() <= BROADCAST_IDS:
         found = F.broadcast(found)
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    at = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (tie == F.col("_t"))
+    return docs.join(found, at, "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomrec.llm import ann, components, decontaminate, licences, neardup, pieces, quality, queries, secrets, sharding, token_output, toxicity
-from loomrec.llm.common import ship, utf8_parts
+from loomrec.llm.common import ship
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, rep string, words string"
 WORDS = [a + b for a in ("ka", "lo", "mi", "ru", "se", "ta", "vo") for b in ("ben", "dor", "fil", "gan", "hup", "jek", "lim")]
@@ -128,24 +128,55 @@ def test_encoder_matches_library():
     assert len(ids) == len(sizes) == 0
 
 
-def test_quality_model_is_a_distribution(spark):
-    counts = quality.count_grams(spark.createDataFrame([(prose(i, 50),) for i in range(20)], "text string"))
-    terms = quality.model_terms(counts).toArrow()
-    logs = quality.table(*(terms.column(x).to_numpy() for x in ("kind", "len", "gram", "value")))
-    sums = np.exp(logs.astype(float)).reshape(-1, 32).sum(1)
-    assert np.allclose(sums, 1, atol=1e-4)
-    data, offsets = utf8_parts(pa.array([prose(99, 50), "%%% @@@ |||| ####", ""]))
-    good, junk, nothing = quality.log_perplexity(data, offsets, logs)
-    assert good < junk and np.isnan(nothing)
-    direct = []
-    text = prose(99, 50)
-    symbols = [26 + 1] * 3 + [int(quality._SYMBOL[b]) for b in text.encode()]
-    for i in range(3, len(symbols)):
-        key = 0
-        for s in symbols[i - 3 : i + 1]:
-            key = key * 32 + s
-        direct.append(logs[key])
-    assert abs(-np.mean(direct) - good) < 1e-5
+def plain_model(texts, order=quality.ORDER):
+    """Interpolated modified Kneser-Ney over bytes, spelt out; returns the probability of a symbol after others."""
+    counts = [{} for _ in range(order + 1)]
+    for text in texts:
+        symbols = b"\xff" * (order - 1) + text.encode()
+        for i in range(order, len(symbols) + 1):
+            g = symbols[i - order : i]
+            counts[order][g] = counts[order].get(g, 0) + 1
+    for k in range(order - 1, 0, -1):
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+    off = [None] + [quality.discounts(*(sum(n == i for n in counts[k].values()) for i in (1, 2, 3, 4))) for k in range(1, order + 1)]
+    after = [{} for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for g, n in counts[k].items():
+            after[k].setdefault(g[:-1], {})[g[-1:]] = n
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        k = len(g)
+        own = after[k].get(g[:-1])
+        if not own:
+            return p(g[1:])
+        d = lambda n: off[k][min(n, 3) - 1] if n else 0.0
+        n, total = own.get(g[-1:], 0), sum(own.values())
+        return (n - d(n)) / total + sum(map(d, own.values())) / total * p(g[1:])
+
+    return p
+
+
+def test_quality_model(spark, monkeypatch):
+    """Terms, shards and blocks give the plain model's perplexity, and its probabilities sum up to one."""
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(quality, "SLICE_BLOCKS", 1)
+    trusted = [prose(i, 50) for i in range(12)] + ["Привет, мир. 日本語 é", "a", ""]
+    others = [prose(99, 30), "%%% @@@ |||| ####", "", None, "日本 мир", "ÿ\xff x", LONG[:3000]]
+    p = plain_model(trusted)
+    terms = quality.model_terms(quality.count_grams(spark.createDataFrame([(t,) for t in trusted], "text string")))
+    rows = spark.createDataFrame([(i, None, i, t) for i, t in enumerate(trusted + others)], "doc_id long, lang string, tie long, text string").repartition(3)
+    got = {r.doc_id: r for r in quality.perplexities(rows, terms).collect()}
+    assert len(got) == len(trusted + others)
+    for i, text in enumerate(trusted + others):
+        symbols = b"\xff" * (quality.ORDER - 1) + (text or "").encode()
+        logs = [np.log(p(symbols[k - quality.ORDER : k])) for k in range(quality.ORDER, len(symbols) + 1)]
+        assert got[i].n_symbols == len(logs)
+        assert got[i].log_perplexity is None if not logs else abs(got[i].log_perplexity + np.mean(logs)) < 1e-5
+    for context in (b"kabe", b"zzzz", b"\xff\xff\xffa"):
+        assert abs(sum(p(context + bytes([x])) for x in range(256)) - 1) < 1e-9
 
 
 def test_quality(docs, empty, labels, spark):
@@ -155,7 +186,35 @@ def test_quality(docs, empty, labels, spark):
     assert quality.classify(empty, labels).count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.keep == (r.n_symbols > 0) for r in quality.classify(docs, none).collect())
-    assert quality.drop_low_quality(docs, labels).columns == docs.columns
+    left = quality.drop_low_quality(docs, none)
+    assert left.columns == docs.columns and left.count() == docs.count() - 2
+
+
+def test_quality_limits(spark):
+    """Limits of each class, by its quantiles where it has rows enough, else by its language's, else by all."""
+    rng = np.random.default_rng(0)
+    rows = [(lang, k, True, i % 5 == 0, float(rng.normal(k))) for lang, k, n in (("en", 0, 900), ("en", 1, 60), ("de", 0, 400), (None, 2, 30)) for i in range(n)]
+    rows += [("en", 1, False, False, 9.0), ("xx", 3, False, False, None)]
+    df = spark.createDataFrame(rows, "lang string, _len int, _trusted boolean, _apart boolean, log_perplexity double")
+    got = {(r.lang, r._2): (r.low, r.high) for r in quality.limits(df, 0.05, 0.95).select("lang", F.col("_len").alias("_2"), "low", "high").collect()}
+    apart = [r for r in rows if r[2] and r[3]]
+    pools = {("en", 0): [r for r in apart if r[:2] == ("en", 0)], ("en", 1): [r for r in apart if r[0] == "en"], ("de", 0): [r for r in apart if r[0] == "de"], (None, 2): apart, ("xx", 3): apart}
+    assert set(got) == set(pools)
+    for key, pool in pools.items():
+        x = sorted(r[4] for r in pool)
+        low, high = (x[max(0, int(np.ceil(q * len(x))) - 1)] for q in (0.05, 0.95))
+        assert np.allclose(got[key], (low - quality.SLACK * (high - low), high + quality.SLACK * (high - low)))
+
+
+def test_quality_tells_junk(spark):
+    """Held-out figures: clean documents stay, shuffled letters and foreign signs go."""
+    rng = np.random.default_rng(1)
+    clean = [prose(i, 80) for i in range(700)]
+    junk = ["".join(rng.permutation(list(prose(i, 80)))) for i in range(60)] + [" ".join(f"{w}%%%" for w in prose(i, 80).split()) for i in range(60)]
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(clean + junk)], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i, 1) for i in range(500)], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.drop_low_quality(rows, trusted).collect()}
+    assert len([i for i in kept if 500 <= i < 700]) >= 196 and not [i for i in kept if i >= 700]
 
 
 def plain_spans(text):
