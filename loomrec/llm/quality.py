@@ -5,8 +5,8 @@ reads any script and grows with the corpus. Counts are taken over trusted docume
 contexts and discounts are joined to the terms of each n-gram, and stay a table. Documents go
 in blocks: a block's distinct n-grams are dealt to shards, where they meet the model's terms,
 and their logarithms come back to the block, which sums them up for each document. A document
-is kept when its perplexity lies between quantiles of trusted documents that the model has not
-seen, of its language and class of lengths.
+is kept when its perplexity lies between quantiles of trusted documents of its language and
+class of lengths; the upper one is taken from such as the model has not seen.
 """
 
 from __future__ import annotations
@@ -254,12 +254,22 @@ def shard_logarithms(keys: DataFrame, terms: DataFrame) -> DataFrame:
 def log_perplexity(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
     """Minus the mean logarithm a symbol of each text, by the logarithm of each n-gram of keys in rising order; not a number for empty ones."""
     out = np.full(len(offsets) - 1, np.nan)
+    # most n-grams are found by one look into a table of slots; those whose slot another has taken by search
+    bits = max(8, int(len(keys)).bit_length() + 3)
+    slot = lambda x: ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    held = np.zeros(1 << bits, np.int32)
+    held[slot(keys)] = np.arange(len(keys), dtype=np.int32)
     for a, b in blocks(offsets, 1 << 20):
         cuts = offsets[a : b + 1] - offsets[a]
         at = grams(data[offsets[a] : offsets[b]], cuts)
-        place = np.searchsorted(keys, at)
-        if len(at) and (place.max() >= len(keys) or (keys[place] != at).any()):
-            raise RuntimeError("a block lacks the logarithms of some of its n-grams")
+        if len(at) and not len(keys):
+            raise RuntimeError("a block lacks the logarithms of its n-grams")
+        place = held[slot(at)] if len(at) else np.zeros(0, np.int32)
+        other = np.flatnonzero(keys[place] != at)
+        if len(other):
+            place[other] = np.minimum(np.searchsorted(keys, at[other]), len(keys) - 1)
+            if (keys[place[other]] != at[other]).any():
+                raise RuntimeError("a block lacks the logarithms of some of its n-grams")
         sums = np.concatenate([[0.0], np.cumsum(logs[place], dtype=np.float64)])
         size = np.diff(cuts)
         out[a:b] = np.where(size > 0, -(sums[cuts[1:]] - sums[cuts[:-1]]) / np.maximum(size, 1), np.nan)
@@ -269,7 +279,8 @@ def log_perplexity(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, logs
 def perplexities(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, lang, tie, n_symbols and log_perplexity of rows (doc_id, lang, tie, text)."""
     parts = partitions_for(rows, 8 << 20)
-    packs = packed(rows).repartition(parts, "block")  # one shuffle of the texts, compressed, which both readers share
+    # one shuffle of the texts, compressed, which both readers share: the join below would add this filter to one of them alone
+    packs = packed(rows).where("block is not null").repartition(parts, "block")
     shards = max(LEAST_SHARDS, min(4096, -(-terms.count() // SHARD_TERMS)))
     slices = max(1, -(-parts // SLICE_BLOCKS))
     keys = block_grams(packs, shards, slices)
@@ -326,15 +337,18 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def limits(scored: DataFrame, low: float, high: float, least: int = 50) -> DataFrame:
-    """lang, _len, low and high: quantiles of the trusted rows that the model has not seen, or of all where these are fewer than least.
+    """lang, _len, low and high: quantiles of trusted rows.
 
-    Where a class has fewer than least of them, those of the language, then of all languages, stand in.
+    The upper one is that of rows which the model has not seen, or of all where these are fewer
+    than least; what it has seen reads easier, so the lower one counts all. Where a class has
+    fewer than least rows for the upper one, those of the language, then of all languages, stand in.
     """
     known = scored.where("_trusted and log_perplexity is not null")
+    own = F.col("log_perplexity")
     if known.where("_apart").count() >= least:
-        known = known.where("_apart")
-    q = F.percentile_approx("log_perplexity", [low, high], 20_000)
-    cube = known.groupingSets([["lang", "_len"], ["lang"], []], "lang", "_len").agg(F.grouping_id().alias("_g"), F.count("*").alias("n"), q.alias("q"))
+        own = F.when(F.col("_apart"), own)
+    q = F.array(F.percentile_approx("log_perplexity", low, 20_000), F.percentile_approx(own, high, 20_000))
+    cube = known.groupingSets([["lang", "_len"], ["lang"], []], "lang", "_len").agg(F.grouping_id().alias("_g"), F.count(own).alias("n"), q.alias("q"))
     cube = materialize(cube, "quantiles")
     every = cube.where("_g = 3").first()  # quantiles over all languages
     rest = F.array(*map(F.lit, every["q"])) if every and every["q"] else F.lit(None).cast("array<double>")
