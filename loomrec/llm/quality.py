@@ -279,13 +279,14 @@ def log_perplexity(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, logs
 def perplexities(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, lang, tie, n_symbols and log_perplexity of rows (doc_id, lang, tie, text)."""
     parts = partitions_for(rows, 8 << 20)
-    # one shuffle of the texts, compressed, which both readers share: the join below would add this filter to one of them alone
+    # one shuffle of the texts, compressed, which both readers share: the join below would add this filter to one of them
+    # alone, and would change its partitions to those of the other side
     packs = packed(rows).where("block is not null").repartition(parts, "block")
     shards = max(LEAST_SHARDS, min(4096, -(-terms.count() // SHARD_TERMS)))
     slices = max(1, -(-parts // SLICE_BLOCKS))
     keys = block_grams(packs, shards, slices)
     found = shard_logarithms(keys, sharded(terms, shards, slices))
-    per = found.groupBy("block").agg(F.collect_list(F.struct("keys", "logs")).alias("found"))
+    per = found.repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("keys", "logs")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
