@@ -65,12 +65,25 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(np.append(first, len(values)))
 
 
+def distinct_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a block's texts in rising order and how often each occurs, a part of the block at a time."""
+    found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for a, b in blocks(offsets, 1 << 20):
+        own, n = distinct(grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+        both, times = np.concatenate([found, own]), np.concatenate([counts, n])
+        order = np.argsort(both, kind="stable")
+        both, times = both[order], times[order]
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, int)
+        found, counts = both[first], np.add.reduceat(times, first) if len(first) else times
+    return found, counts
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """gram and n over the texts of docs; each task sums up its own, a block at a time, before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, offsets, _ in _blocks(batches):
-            found, n = distinct(grams(data, offsets))
+            found, n = distinct_grams(data, offsets)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["gram", "n"])
 
     return docs.select("text").mapInArrow(tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -207,7 +220,7 @@ def block_grams(packs: DataFrame, shards: int, slices: int) -> DataFrame:
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
                 _, data, offsets = _opened(payload.as_py())
-                keys, _ = distinct(grams(data, offsets))
+                keys, _ = distinct_grams(data, offsets)
                 at = shard_of(keys, shards)
                 order = np.argsort(at, kind="stable")
                 keys, cuts = keys[order], np.searchsorted(at[order], np.arange(shards + 1))
