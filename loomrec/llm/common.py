@@ -107,16 +107,16 @@ def list_column(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> p
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, type=kind))
 
 
-def ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
     """Sends this package to the executors, once a session's context: their Python may not find it otherwise.
 
-    It also bounds the rows and bytes that go to Python at once, as texts may be long.
+    It also bounds the rows and bytes that go to Python at once, as texts may be long; both settings hold for the session.
     """
     import shutil
     from pathlib import Path
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     context = spark.sparkContext
     if getattr(context, "_loomrec_sent", False):
         return

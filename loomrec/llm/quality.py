@@ -27,7 +27,7 @@ ORDER = 5
 #: What stands before a text: a byte that UTF-8 never holds.
 START = 0xFF
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Terms of the model in a shard, about, and blocks whose n-grams meet a copy of it.
 SHARD_TERMS, SLICE_BLOCKS = 250_000, 64
 LEAST_SHARDS = 16
