@@ -63,6 +63,7 @@ class PieceModel:
             raise ValueError("two pieces share a hash")
         self.own_bytes = [self._bytes_of(i, p) for i, p in enumerate(self.pieces)]
         self.known: dict[str, bytes] = {}
+        self.most = _CACHE  # words kept
         # blanks only lead pieces, line ends are in none: words can be told apart there
         self.apart = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.numbers)
 
@@ -212,6 +213,10 @@ class PieceModel:
                     else:
                         self.known[w] = data[cuts4[i] : cuts4[i + 1]]
 
+    def forget(self, left: int) -> None:
+        """Keeps left words, those met first."""
+        self.known = dict(islice(self.known.items(), left))
+
     def chunks(self, text: str) -> list[str]:
         if not text:
             return []
@@ -221,9 +226,9 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = [self.chunks(x) for x in texts]
-        if len(self.known) > _CACHE:
+        if len(self.known) > self.most:
             # frequent words come early: those stay
-            self.known = dict(islice(self.known.items(), _CACHE // 2))
+            self.forget(self.most // 2)
         self.learn(set().union(*split))
         of = self.known.__getitem__
         return [b"".join(map(of, x)) for x in split]
@@ -268,17 +273,20 @@ def decode(coded: DataFrame, model_path: str) -> DataFrame:
     return coded.select("doc_id", "n_pieces", "ids").mapInArrow(tidy(run), "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, text string")
 
 
-def coded(docs: DataFrame, model_path: str) -> DataFrame:
+def coded(docs: DataFrame, model_path: str, words: int = _CACHE) -> DataFrame:
     """doc_id, n_pieces, ids, ids_crc32 and text_crc32 of every row of docs: encode and decode in one worker.
 
     The checksums are those of the ids as little-endian 32-bit integers and of the UTF-8 of the
     text decoded from them. Null and empty texts have no pieces and the checksums of nothing.
     Rows that share a doc_id are coded each for itself. The mark U+2581 in a text is read, and
-    decoded, as a blank. Other columns are ignored.
+    decoded, as a blank. Other columns are ignored; an empty table gives an empty result.
+
+    words: how many words' ids a worker keeps; between tasks it keeps a fifth of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel.load(model_path)
+        model.most = words
         for whole in batches:
             for a in range(0, len(whole), 500):
                 batch = whole.slice(a, 500)
@@ -288,6 +296,8 @@ def coded(docs: DataFrame, model_path: str) -> DataFrame:
                 texts = [zlib.crc32(model.decode(np.frombuffer(x, "<u4").tolist()).encode()) for x in data]
                 columns = [batch.column("doc_id"), pa.array(sizes), ids, pa.array([zlib.crc32(x) for x in data], pa.int64()), pa.array(texts, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "ids", "ids_crc32", "text_crc32"])
+        if words < _CACHE:
+            model.forget(words // 5)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(tidy(run), "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, text_crc32 long")
