@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +35,67 @@ class Schedule:
         return F.when(step < self.rise, rising).otherwise(falling)
 
 
+class Position:
+    """A place in a schedule, which moves a step at a time and can be saved and restored."""
+
+    def __init__(self, schedule: Schedule, step: int = 0) -> None:
+        self.schedule = schedule
+        self.step = step
+
+    @property
+    def rate(self) -> float:
+        s = self.schedule
+        if self.step < s.rise:
+            return s.start + (s.peak - s.start) * self.step / max(1, s.rise)
+        progress = min(1.0, (self.step - s.rise) / max(1, s.total - s.rise))
+        return s.least + (s.peak - s.least) * 0.5 * (1 + math.cos(math.pi * progress))
+
+    def advance(self) -> float:
+        """The rate of the next step."""
+        self.step += 1
+        return self.rate
+
+    def state(self) -> dict[str, object]:
+        return {"step": self.step, **asdict(self.schedule)}
+
+    @classmethod
+    def restored(cls, state: dict[str, object]) -> Position:
+        rest = dict(state)
+        return cls(step=int(rest.pop("step")), schedule=Schedule(**rest))
+
+
+@dataclass(frozen=True)
+class CodebookConfig:
+    """What a codebook's training takes; values that can't work are errors."""
+
+    levels: int = 3
+    size: int = 256
+    beta: float = 0.1
+    starts: int = 10
+    dominance: float = 0.5
+    schedule: str = "cosine_with_warmup"
+
+    def __post_init__(self) -> None:
+        if min(self.levels, self.size, self.starts) < 1 or self.beta < 0 or not 0 < self.dominance <= 1:
+            raise ValueError(f"impossible settings: {self}")
+        Schedule(1, kind=self.schedule)
+
+
+@dataclass(frozen=True)
+class WarmupConfig:
+    """The first stage's sample; weights of four bits can't be merged at the end, so they must be saved on the way."""
+
+    rows: int = 20_000
+    seed: int = 0
+    grounding_only: bool = False
+    four_bit: bool = False
+    save_steps: int | None = None
+
+    def __post_init__(self) -> None:
+        if self.four_bit and not self.save_steps:
+            raise ValueError("four_bit needs save_steps")
+
+
 def adaptive_batch_size(length: Column, base: int = 64, reference: int = 512) -> Column:
     """base up to the reference length, then fewer by the square of the ratio, one at least."""
     ratio = F.lit(float(reference)) / length

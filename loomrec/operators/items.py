@@ -58,3 +58,9 @@ def replaced(candidates: DataFrame, lookup: DataFrame, column: str, key: str, va
     """column mapped through a lookup; what it lacks stays."""
     found = lookup.select(F.col(key).alias(column), F.col(value).alias("_new"))
     return candidates.join(found, column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def first_values(keys: DataFrame, rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """keys with value as the first of its rows by order has it; null for keys without rows."""
+    first = rows.join(keys.select(key), key, "left_semi").groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(value))
+    return keys.join(first, key, "left")

@@ -56,24 +56,30 @@ def _sent(codebook: DataFrame) -> DataFrame:
     return F.broadcast(codebook) if head[0] * (head[1] or 0) <= CODEBOOK_VALUES else codebook
 
 
-def encode(vectors: DataFrame, codebook: DataFrame, key: str = "id", column: str = "embedding") -> DataFrame:
-    """key, codes (one a level) and residual, what is left of the vector after the last level."""
+def encode(vectors: DataFrame, codebook: DataFrame, key: str = "id", column: str = "embedding", keep: tuple[str, ...] = (), errors: bool = False) -> DataFrame:
+    """key, columns to keep, codes (one a level) and residual, what is left of the vector after the last level.
+
+    With errors also the squared norms of what each level leaves.
+    """
     books = vectors.sparkSession.sparkContext.broadcast(codebook_arrays(codebook))
-    kind = vectors.schema[key].dataType.simpleString()
+    names = [key, *keep]
+    kinds = "".join(f"{c} {vectors.schema[c].dataType.simpleString()}, " for c in names) + "codes array<int>, residual array<double>" + ", errors array<double>" * errors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             x = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-            codes = []
+            codes, left = [], []
             for book in books.value:
                 at = nearest_rows(x, book)
                 x = x - book[at]
                 codes.append(at)
-            yield pa.RecordBatch.from_arrays([batch.column(key), _lists(np.stack(codes, 1).astype(np.int32)), _lists(x)], names=[key, "codes", "residual"])
+                left.append((x**2).sum(1))
+            made = [_lists(np.stack(codes, 1).astype(np.int32)), _lists(x), *([_lists(np.stack(left, 1))] if errors else [])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, "codes", "residual", "errors"][: len(names) + len(made)])
 
-    return vectors.select(key, column).mapInArrow(run, f"{key} {kind}, codes array<int>, residual array<double>")
+    return vectors.select(*dict.fromkeys([*names, column])).mapInArrow(run, kinds)
 
 
 def nearest_code(vectors: DataFrame, codebook: DataFrame, level: int = 0, key: str = "id", column: str = "embedding") -> DataFrame:

@@ -110,3 +110,22 @@ def coherence(pairs: DataFrame, sets: DataFrame, key: str = "id", column: str =
     a, b = (sets.select(F.col(key).alias(c), F.col(column).alias(f"_{c}")) for c in ("a", "b"))
     score = pairs.join(a, "a").join(b, "b").select(jaccard(F.col("_a"), F.col("_b")).alias("j")).where("j is not null")
     return score.agg(F.count("*").alias("pairs"), F.avg("j").alias("mean"), F.percentile("j", 0.5).alias("median"))
+
+
+def lift(classes: dict[str, DataFrame], sets: DataFrame, base: str = "random", key: str = "id", column: str = "genre_set") -> DataFrame:
+    """class, pairs, mean and median similarity of classes of pairs, and lift, the mean over that of the base class."""
+    out = None
+    for name, pairs in classes.items():
+        one = coherence(pairs, sets, key, column).withColumn("class", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    # one row a class
+    ground = F.max(F.when(F.col("class") == base, F.col("mean"))).over(Window.partitionBy(F.lit(0)))
+    return out.withColumn("lift", F.col("mean") / ground).select("class", "pairs", "mean", "median", "lift")
+
+
+def in_group(ids: DataFrame, *codes: int) -> DataFrame:
+    """The rows whose first codes are these."""
+    met = F.lit(True)
+    for k, code in enumerate(codes):
+        met = met & (F.col("semantic_ids")[k] == code)
+    return ids.where(met)

@@ -20,11 +20,11 @@ INSTRUCTIONS: dict[str, list[str]] = {
     "nl_preference": ["Find an item for this wish and give its id.", "Give the id of a fitting item.", "Which item id meets this wish?"],
 }
 SIMILAR_QUERIES = ["I like {item_name}. What else is there?", "Something close to {item_name}, please.", "After {item_name}, what should I try?", "What resembles {item_name}?", "People who keep {item_name} also keep what?"]
-GENRE_QUERIES = ["I want {article} {genre} item.", "Show me {article} {genre} title.", "Any good {genre} pick?", "Looking for {article} {genre} one.", "Recommend {article} {genre} item."]
+GENRE_QUERIES = ["My taste runs to {genre}; what fits?", "Show me {article} {genre} title.", "Any good {genre} pick?", "Tonight it should be {genre}.", "Which {genre} entry is worth a try?"]
 PAIR_QUERIES = ["Something both {genre} and {other}.", "I want a mix of {genre} and {other}.", "Any item that is {genre} as well as {other}?"]
-CATEGORY_QUERIES = ["{article} {genre} item with {category}.", "I want {genre} and {category}.", "Find {genre} with {category}.", "Looking for {category} in {article} {genre} item."]
-# fixed values: the curated categories with the names used in queries
-CATEGORIES = {"Multi-player": "multiplayer", "Co-op": "co-op", "PvP": "player versus player", "Single-player": "single player"}
+CATEGORY_QUERIES = ["{article} {genre} item with {category}.", "It should be {genre} and made for {category}.", "Find {genre} with {category}.", "Is there {article} {genre} title for {category}?"]
+# fixed values: the names of the curated categories; beside them, our own wording for queries
+CATEGORIES = {"Multi-player": "several players", "Co-op": "playing together", "PvP": "playing against others", "Single-player": "playing alone"}
 RECOMMENDING = ("sequential", "asy", "similar_item", "nl_similar_item", "nl_preference")
 
 
@@ -138,3 +138,12 @@ def training_sample(df: DataFrame, n: int = 20_000, seed: int = 0, grounding_onl
     if grounding_only:
         rows = rows.where(F.col("task").isin("grounding_id2name", "grounding_name2id"))
     return rows.orderBy(hash_key(seed, "stage1", F.col("task"), F.col("_key"), F.col("copy")), "task", "_key", "copy").limit(n)
+
+
+def probes(examples: DataFrame) -> DataFrame:
+    """probe and text: the first output that is an id, and the first history of each task that has one; first by task, key and copy."""
+    order = F.struct("task", "_key", "copy")
+    kinds = {"id": F.when(F.col("output").contains(SID_START), F.col("output"))} | {t: F.when(F.col("task") == t, F.col("input")) for t in ("sequential", "asy")}
+    firsts = [F.min(F.when(c.isNotNull(), F.struct(order.alias("o"), c.alias("text")))).alias(k) for k, c in kinds.items()]
+    parts = [F.struct(F.lit(k).alias("probe"), F.col(f"{k}.text").alias("text")) for k in kinds]
+    return examples.agg(*firsts).select(F.explode(F.array(*parts)).alias("p")).select("p.*").where("text is not null")

@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomrec.functions.schedule import adaptive_batch_size
+from loomrec.sources.files import read_token_matrix, write_token_matrix
 
 
 def word_ids(df: DataFrame, column: str, size: int = 30_000) -> DataFrame:
@@ -20,6 +22,17 @@ def word_ids(df: DataFrame, column: str, size: int = 30_000) -> DataFrame:
     return df.withColumn("ids", F.transform(words, own))
 
 
+def tokenized(df: DataFrame, column: str, tokenizer: Callable[[list[str]], list[list[int]]]) -> DataFrame:
+    """df with ids by a tokenizer, which gets a batch's texts; null texts are empty ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = tokenizer([x or "" for x in batch.column(column).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+
+
 def padded(df: DataFrame, width: int = 2000, pad: int = 0) -> DataFrame:
     """df with input_ids and attention_mask of one width, cut or padded at the end."""
     n = F.least(F.size("ids"), F.lit(width))
@@ -46,17 +59,42 @@ def hashing_encoder(width: int = 64) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
-def embed(df: DataFrame, column: str, encoder: Callable[[list[str]], np.ndarray], base: int = 64) -> DataFrame:
-    """df with embedding: the encoder runs over batches of like lengths inside each partition."""
-    from pyspark.sql import types as T
+def halving(encoder: Callable[[list[str]], np.ndarray], texts: list[str]) -> np.ndarray:
+    """encoder(texts); where memory runs out, each half by itself, down to single texts."""
+    try:
+        return encoder(texts)
+    except MemoryError:
+        if len(texts) < 2:
+            raise
+    half = len(texts) // 2
+    return np.concatenate([halving(encoder, texts[:half]), halving(encoder, texts[half:])])
 
+
+def like_lengths(lengths: np.ndarray, base: int, reference: int) -> Iterator[np.ndarray]:
+    """The rows in batches of like lengths, the longest first; a batch has as many as its longest row allows."""
+    order = np.argsort(-lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        longest = int(lengths[order[at]])
+        size = base if longest <= reference else max(1, int(base * (reference / longest) ** 2))
+        yield order[at : at + size]
+        at += size
+
+
+def embed(df: DataFrame, column: str, encoder: Callable[[list[str]], np.ndarray], base: int = 64, reference: int = 512) -> DataFrame:
+    """df with embedding, in the order of df: the encoder gets batches of like lengths, in words, of what came to Python at once.
+
+    Batches of long texts are smaller, by the square of the length, and halved where memory runs out.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(column).to_pylist()
-            parts = [encoder(texts[a : a + base]) for a in range(0, len(texts), base)]
-            rows = np.concatenate(parts).astype(np.float32).tolist() if parts else []
+            texts = [x or "" for x in batch.column(column).to_pylist()]
+            rows: list = [None] * len(texts)
+            for some in like_lengths(np.array([len(x.split()) for x in texts], np.int64), base, reference):
+                for i, v in zip(some.tolist(), halving(encoder, [texts[i] for i in some]).astype(np.float32), strict=True):
+                    rows[i] = v
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float32()))], names=[*batch.schema.names, "embedding"])
 
     return df.mapInArrow(run, schema)
@@ -67,6 +105,35 @@ def left_to_do(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key), key, "left_anti")
 
 
+def embed_job(df: DataFrame, key: str, column: str, encoder: Callable[[list[str]], np.ndarray], path: str, parts: int = 16) -> DataFrame:
+    """key and embedding of every row of df, read from path, where a job that was stopped goes on.
+
+    Rows are dealt to parts by a hash of key; each part is written by itself once, so what has been
+    written stays. key tells rows apart. An embedding too many or too few is an error.
+    """
+    spark = df.sparkSession
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = lambda: files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files)
+    kind = T.StructType([df.schema[key], T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    for part in range(parts):
+        todo = df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
+        if there():
+            todo = left_to_do(todo, spark.read.schema(kind).parquet(path), key)
+        embed(todo, column, encoder).select(key, "embedding").write.mode("append").parquet(path)
+    out = spark.read.schema(kind).parquet(path)
+    if (n := out.count()) != (items := df.count()):
+        raise ValueError(f"{n} embeddings were written for {items} rows")
+    return out
+
+
+def embedding_pipeline(df: DataFrame, key: str, column: str, tokenizer: Callable[[list[str]], list[list[int]]], encoder: Callable[[list[str]], np.ndarray], path: str, width: int = 2000) -> DataFrame:
+    """The token matrix of df, written to path/tokens, then the embeddings, written to path/embeddings and returned."""
+    tokens = padded(tokenized(df.select(F.col(key).alias("id"), column), column, tokenizer), width)
+    write_token_matrix(tokens, f"{path}/tokens")
+    read_token_matrix(df.sparkSession, f"{path}/tokens", df.count())
+    return embed_job(df, key, column, encoder, f"{path}/embeddings")
+
+
 def grounded_vectors(codebook: DataFrame, hidden: int, norm: float, seed: int = 0) -> DataFrame:
     """level, code and vector of width hidden: codes under one orthonormal projection, scaled so that each level's mean norm is ``norm``."""
     from loomrec.operators.quantize import codebook_arrays

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomrec.functions import schedule, text, vectors
 from loomrec.functions.determinism import pick
-from loomrec.operators import evaluate, pairs, prep, profile, quantize, rebalance, semantic_ids, tasks, tokenize, trie
+from loomrec.operators import drivers, evaluate, export, pairs, prep, profile, quantize, rebalance, semantic_ids, tasks, tokenize, trie
 from loomrec.operators import items as it
 from loomrec.plans import fixtures as fx
 from loomrec.plans.fixtures import CATALOG, CODES, COOC, IDS, INTER, ITEMS, LEVELS, LONG_TAIL, PAIRS, SEQ, STRIP, choose_sql, hash_sql, pick_sql
@@ -396,7 +396,7 @@ def _balanced_sql(name: str, source: str, target: str, key: str, keys: str, floo
   union all select c.target, {key}, c.copy from {name}_c c join {name}_r x on x.target = c.target and x.r = {drawn} + 1)"""
 
 
-_SFT = f"""with {PAIRS}{COOC[len(SEQ) :]}, named as (select partner, item || ':' || partner as key from partner),
+_SFT_PARTS = f"""with {PAIRS}{COOC[len(SEQ) :]}, named as (select partner, item || ':' || partner as key from partner),
 {_balanced_sql('bal', 'pairs', 'target', 'user_id, pos', "user_id, cast(pos as varchar)", 5, 50)},
 {_balanced_sql('sim', 'named', 'partner', 'key', 'key', 3, 20)},
 nl as (select key from ({ORACLE['nl_genre']}) union all select key from ({ORACLE['nl_genre_pair']}) union all select key from ({ORACLE['nl_genre_category']})),
@@ -405,7 +405,8 @@ pool as (select 'sequential' as task, target, key, 0 as copy from seqs union all
   union all select 'similar_item', target, key, copy from sim union all select 'nl_similar_item', target, key, copy from sim
   union all select 'nl_preference', regexp_extract(key, '[^:]*$'), key, 0 from nl),
 capped as (select * from (select *, row_number() over (partition by target order by {hash_sql('exposure', 'target', 'task', 'key', 'cast(copy as varchar)')}, task, key, copy) as r from pool) where r <= 40),
-grp as (select task, target, row_number() over (partition by task order by {hash_sql('group', 'target')}, target) as k, count(*) over (partition by task) as n from (select distinct task, target from capped))
+grp as (select task, target, row_number() over (partition by task order by {hash_sql('group', 'target')}, target) as k, count(*) over (partition by task) as n from (select distinct task, target from capped))"""
+_SFT = f"""{_SFT_PARTS}
 select task, case when k <= greatest(1, cast(floor(n * 0.05::double) as bigint)) then 'val' else 'train' end as split, count(*) as n, count(distinct target) as targets
 from capped join grp using (task, target) group by all
 union all select t.task, s.split, s.f * (select count(*) from part), (select count(*) from part)
@@ -549,11 +550,88 @@ def genre_coherence(spark, sf):
     return out.select("pairs", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
 
 
-@query(f"""with {IDS}, {CATALOG}, n as (select ids.id, c0, c1, row_number() over (partition by c0, c1 order by ids.id) as i, count(*) over (partition by c0, c1) as n from ids)
-select x.c0 || '-' || x.c1 as prefix, x.id as a, y.id as b from n x join n y on x.c0 = y.c0 and x.c1 = y.c1 and x.i < y.i where x.n * (x.n - 1) / 2 <= 300""")
+def _within_sql(name: str, group: str, cap: int = 300) -> str:
+    """CTEs {name}_n and {name}: g, a and b of the pairs of each group of ids, drawn by hash where they are more than cap."""
+    drawn = pick_sql("z", "pair", "g", "cast(t as varchar)")
+    return f"""{name}_n as (select id, {group} as g, row_number() over (partition by {group} order by id) as i, count(*) over (partition by {group}) as n from ids),
+{name}_z as (select distinct g, n * (n - 1) // 2 as z from {name}_n where n > 1),
+{name}_k as (select g, unnest(range(z)) as k from {name}_z where z <= {cap}
+  union all select g, k from (select g, k, row_number() over (partition by g order by min(t)) as r from (select g, t, {drawn} as k from {name}_z, range({4 * cap + 1}) u(t) where z > {cap}) group by g, k) where r <= {cap}),
+{name}_j as (select g, k, cast(floor((1 + sqrt(1 + 8 * k::double)) / 2) as bigint) as j from {name}_k),
+{name} as (select {name}_j.g, x.id as a, y.id as b from {name}_j join {name}_n x on x.g = {name}_j.g and x.i = k - j * (j - 1) // 2 + 1 join {name}_n y on y.g = {name}_j.g and y.i = j + 1)"""
+
+
+_PREFIX = "c0 || '-' || c1"
+
+
+@query(f"with {IDS}, {_within_sql('w', _PREFIX)} select g as prefix, a, b from w")
 def prefix_pairs(spark, sf):
-    rows = fx.codes(spark, sf).select("id", F.concat_ws("-", F.col("codes")[0].cast("string"), F.col("codes")[1].cast("string")).alias("prefix"))
-    return semantic_ids.pairs_within(rows, "prefix", 300, 0)
+    return semantic_ids.pairs_within(_prefixed(spark, sf, 2), "prefix", 300, 0)
+
+
+def _prefixed(spark, sf, levels: int) -> DataFrame:
+    """id and prefix, its first codes."""
+    return fx.codes(spark, sf).select("id", F.array_join(F.transform(F.slice("codes", 1, levels), lambda c: c.cast("string")), "-").alias("prefix"))
+
+
+_DRAWS = f"""draws as (select id as draw, {pick_sql('(select count(*) from catalog)', 'left', 'cast(id as varchar)')} as x, {pick_sql('((select count(*) from catalog) - 1)', 'right', 'cast(id as varchar)')} as o from range(50000) t(id)),
+placed as (select id, row_number() over (order by {hash_sql('place', 'id')}, id) - 1 as i from catalog),
+rnd as (select l.id as a, r.id as b from draws join placed l on l.i = x join placed r on r.i = (x + 1 + o) % (select count(*) from catalog))"""
+
+
+@query(f"""with {CATALOG}, {IDS}, {_DRAWS}, {_within_sql('w0', "cast(c0 as varchar)")}, {_within_sql('w1', _PREFIX)},
+every as (select 'random' as class, a, b from rnd union all select 'level 0', a, b from w0 union all select 'levels 0 and 1', a, b from w1),
+sets as (select id, string_split(genres, ',') as s from catalog where genres is not null),
+j as (select class, len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s)))::double as j from every join sets x on x.id = a join sets y on y.id = b),
+m as (select class, count(*) as pairs, avg(j) as mean, median(j) as median from j group by class)
+select class, pairs, round(mean, 6) as mean, round(median, 6) as median, round(mean / (select mean from m where class = 'random'), 6) as lift from m""")
+def coherence_lift(spark, sf):
+    cat = fx.catalog(spark, sf)
+    sets = cat.where("genres is not null").select("id", text.csv_raw_set(F.col("genres")).alias("genre_set"))
+    within = {name: semantic_ids.pairs_within(_prefixed(spark, sf, k), "prefix", 300, 0).select("a", "b") for name, k in (("level 0", 1), ("levels 0 and 1", 2))}
+    out = semantic_ids.lift({"random": semantic_ids.random_pairs(cat.select("id"), 50_000, 0).select("a", "b")} | within, sets)
+    return out.select("class", "pairs", *(F.round(c, 6).alias(c) for c in ("mean", "median", "lift")))
+
+
+@query(f"with {IDS} select id, cast(c2 as integer) as code, cast(d as integer) as digit from ids where c0 = 3 and c1 = 5")
+def prefix_group(spark, sf):
+    out = semantic_ids.in_group(fx.ids(spark, sf), 3, 5)
+    return out.select("id", F.col("semantic_ids")[2].alias("code"), F.col("semantic_ids")[3].alias("digit"))
+
+
+@query(f"with {_ENCODED}, ids as (select id, c0, c1, c2, row_number() over (partition by c0, c1, c2 order by id) - 1 as d from enc) select id, cast(c0 as integer) as semantic_id_0, cast(c1 as integer) as semantic_id_1, cast(c2 as integer) as semantic_id_2, cast(d as integer) as semantic_id_3 from ids")
+def semantic_id_export(spark, sf):
+    rows = semantic_ids.add_digit(_encoded(spark, sf).select("id", "codes"))
+    return semantic_ids.level_columns(rows, LEVELS + 1).drop("semantic_ids")
+
+
+_METRICS = f"""{_ENCODED}, l as (select 0 as level, r from r0 union all select 1, r from r1 union all select 2, r from r2),
+m as (select level, avg(list_sum(list_transform(r, lambda x: x * x)) / len(r)) as mse from l group by level),
+u as (select level, code, count(*) as n from (select 0 as level, c0 as code from enc union all select 1, c1 from enc union all select 2, c2 from enc) group by all),
+s as (select level, count(*) / {CODES}.0::double as used, max(n) / sum(n)::double as share from u group by level),
+g as (select count(*) as n from enc group by c0, c1, c2),
+long as (select 'codebook_loss' as metric, level, mse as value from m union all select 'commitment_loss', level, mse from m
+union all select 'vq_loss', null, sum(mse) * 1.1::double from m union all select 'recon_loss', null, mse from m where level = 2
+union all select 'loss', null, sum(mse) * 1.1::double + max(mse) filter (where level = 2) from m
+union all select 'codebook_usage', level, used from s union all select 'codebook_max_share', level, share from s
+union all select 'unique_ids_proportion', null, count(*) filter (where n = 1) / sum(n)::double from g
+union all select 'avg_residual_norm', null, avg(sqrt(list_sum(list_transform(r, lambda x: x * x)))) from r2)"""
+
+
+@query(f"with {_METRICS} select metric, cast(coalesce(level, -1) as integer) as level, round(value, 6) as value from long")
+def training_metrics(spark, sf):
+    out = export.training_metrics(export.forward(fx.vectors(spark, sf), fx.fixed_codebook(spark, sf)), LEVELS, CODES)
+    return out.select("metric", F.coalesce("level", F.lit(-1)).alias("level"), F.round("value", 6).alias("value"))
+
+
+@query(f"""with {_ENCODED}, e as (select r0.id % 4 as b, list_sum(list_transform(r0.r, lambda x: x * x)) / len(r0.r) as e0, list_sum(list_transform(r1.r, lambda x: x * x)) / len(r1.r) as e1, list_sum(list_transform(r2.r, lambda x: x * x)) / len(r2.r) as e2
+  from r0 join r1 using (id) join r2 using (id)),
+p as (select b, avg(e2) as recon_loss, (avg(e0) + avg(e1) + avg(e2)) * 1.1::double as vq_loss from e group by b), g as (select count(*) as n from enc group by c0, c1, c2)
+select 'recon_loss' as metric, round(avg(recon_loss), 6) as value from p union all select 'vq_loss', round(avg(vq_loss), 6) from p union all select 'loss', round(avg(recon_loss + vq_loss), 6) from p
+union all select 'unique_ids_proportion', round(count(*) filter (where n = 1) / sum(n)::double, 6) from g""")
+def validation_metrics(spark, sf):
+    out = export.forward(fx.vectors(spark, sf), fx.fixed_codebook(spark, sf)).withColumn("batch", F.col("id") % 4)
+    return export.validation_metrics(out, LEVELS, "batch").select("metric", F.round("value", 6).alias("value"))
 
 
 @query(f"""with {IDS}, g as (select c0 || '-' || c1 as prefix, count(*) as n from ids group by 1 having count(*) >= 5), r as (select *, row_number() over (order by n, prefix) as k, count(*) over () as t from g)
@@ -723,3 +801,43 @@ def adaptive_batches(spark, sf):
 def token_lengths(spark, sf):
     df = tokenize.word_ids(table(spark, sf, "documents").select("text"), "text").select(F.size("ids").cast("long").alias("length"))
     return profile.describe(df, "length", (0.5, 0.9, 0.99)).select("least", *(F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")), "largest")
+
+
+_TASK_SETS = f"""{_SFT_PARTS}, {ITEMS}, k as (select unnest([5, 10]) as k),
+val as (select task, target, key, cast(copy as integer) as copy from capped join grp using (task, target) where task in ('sequential', 'similar_item') and k <= greatest(1, cast(floor(n * 0.05::double) as bigint))
+  union all select task, id, id, copy from (select task, id, cast(copy as integer) as copy, row_number() over (partition by task, id order by {hash_sql('within', 'id', 'id', 'cast(copy as varchar)')}, copy) as r
+    from (values ('grounding_id2name'), ('grounding_name2id')) t(task), items, range(10) c(copy)) where r = 1),
+few as (select * from (select *, row_number() over (partition by task order by {hash_sql('evaluation', 'task', 'key', 'cast(copy as varchar)')}, key, copy) as r from val) where r <= 500),
+pop as (select item_id as id, row_number() over (order by count(*) desc, item_id) as r from inter group by item_id qualify r <= 20),
+best as (select sid, short_desc, row_number() over (order by r) as rank from pop join items using (id) qualify rank <= 10),
+sid_rank as (select sid, min(rank) as rank from best group by sid), name_rank as (select short_desc, min(rank) as rank from best group by short_desc),
+judged as (select task, case when task = 'grounding_id2name' then nr.rank else sr.rank end as rank from few join items on items.id = few.target left join sid_rank sr on sr.sid = items.sid left join name_rank nr on nr.short_desc = items.long_desc)"""
+
+
+@query(f"""with {_TASK_SETS[5:]}
+select task, cast(k as integer) as k, count(*) as n, round(avg(case when rank <= k then 1.0 else 0.0 end), 6) as recall, round(avg(case when rank <= k then 1 / log2(rank + 1) else 0.0 end), 6) as ndcg from judged, k group by all""")
+def popularity_evaluation(spark, sf):
+    sequences = prep.user_sequences(fx.inter(spark, sf), 1)
+    out = drivers.popularity_evaluation(_dataset(spark, sf).where("split = 'val'"), sequences, fx.items(spark, sf))
+    return out.select("task", "k", "n", F.round("recall", 6).alias("recall"), F.round("ndcg", 6).alias("ndcg"))
+
+
+@query(f"""with {ITEMS}, forms as (select short_desc as d from items union select long_desc from items), tok as (select list_append(string_split(d, ' '), '-1') as t from forms)
+select distinct array_to_string(t[1:i - 1], ' ') as prefix, t[i] as token from (select t, unnest(range(1, len(t) + 1)) as i from tok)""")
+def name_trie(spark, sf):
+    return trie.name_trie(fx.items(spark, sf))
+
+
+@query(f"""with s as ({ORACLE['sequential_examples']}), y as ({ORACLE['asy_examples']})
+select 'id' as probe, arg_min(output, key) as text from s union all select 'sequential', arg_min(input, key) from s union all select 'asy', arg_min(input, key) from y""")
+def probes(spark, sf):
+    made = tasks.sequential_and_asy(_pairs(spark, sf), fx.items(spark, sf))
+    return tasks.probes(made[0].unionByName(made[1]).withColumn("copy", F.lit(0)))
+
+
+@query("""with top as (select cast(l_partkey as varchar) as item_id, count(*) as n from lineitem group by 1 order by n desc, item_id limit 5)
+select item_id, n, arg_min(l_shipdate, struct_pack(o := l_orderkey, l := l_linenumber)) as l_shipdate from top join lineitem on cast(l_partkey as varchar) = item_id group by all""")
+def top_item_first_rows(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("item_id"), "l_orderkey", "l_linenumber", "l_shipdate")
+    top = rows.groupBy("item_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item_id").limit(5)
+    return it.first_values(top, rows, "item_id", "l_shipdate", "l_orderkey", "l_linenumber")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import logging
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomrec.functions.determinism import shuffled
+
 USER_ITEMS = "user_id string, steam_id string, items_count long, items array<struct<item_id:string,item_name:string,playtime_forever:long,playtime_2weeks:long>>"
 SFT = "instruction string, input string, output string, task string, criteria struct<genres:array<string>,categories:array<string>>"
 
@@ -72,14 +78,23 @@ def read_token_matrix(spark: SparkSession, path: str, items: int) -> DataFrame:
     return df
 
 
-def save_model(weights: DataFrame, codebook: DataFrame, path: str) -> None:
-    """A model as tables: weights (layer, row, values) and codebook (level, code, vector)."""
+def save_model(weights: DataFrame, codebook: DataFrame, path: str, state: dict[str, object] | None = None) -> None:
+    """A model as tables: weights (layer, row, values), codebook (level, code, vector) and one row of state: step, best loss, schedule, settings."""
     weights.write.mode("overwrite").parquet(f"{path}/weights")
     codebook.write.mode("overwrite").parquet(f"{path}/codebook")
+    codebook.sparkSession.createDataFrame([(json.dumps(state or {}),)], "value string").write.mode("overwrite").text(f"{path}/state")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/codebook")
+def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict[str, object]]:
+    """weights, codebook and state of a saved model; FileNotFoundError where there is none."""
+    try:
+        weights, codebook = (spark.read.parquet(f"{path}/{x}") for x in ("weights", "codebook"))
+        state = json.loads(spark.read.text(f"{path}/state").first()["value"])
+    except AnalysisException as gone:
+        if gone.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no model at {path}") from gone
+    return weights, codebook, state
 
 
 def parameter_count(weights: DataFrame) -> DataFrame:
@@ -90,3 +105,20 @@ def append_metrics(spark: SparkSession, path: str, run: str, step: int, prefix:
     """Rows (run, step, prefix, metric, level, value); level is null for plain numbers."""
     rows = [(run, step, prefix, k, i, float(x)) for k, v in values.items() for i, x in (enumerate(v) if isinstance(v, list) else [(None, v)])]
     spark.createDataFrame(rows, "run string, step long, prefix string, metric string, level int, value double").write.mode("append").parquet(path)
+
+
+def write_dataset(df: DataFrame, path: str, seed: int = 0) -> None:
+    """The examples of each split, in random order, to path/train and path/val."""
+    for split in ("train", "val"):
+        write_examples(shuffled(df.where(F.col("split") == split), seed, f"order-{split}", "task", "_key", "copy"), f"{path}/{split}")
+
+
+def logger(name: str, level: int = logging.INFO, file: str | None = None) -> logging.Logger:
+    """A logger of the driver; the root's console and file handlers are set up by the first call."""
+    root = logging.getLogger("loomrec")
+    if not root.handlers:
+        root.setLevel(level)
+        for handler in (logging.StreamHandler(), *([logging.FileHandler(file, encoding="utf-8")] if file else [])):
+            handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+            root.addHandler(handler)
+    return root.getChild(name)
