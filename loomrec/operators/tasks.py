@@ -22,9 +22,9 @@ INSTRUCTIONS: dict[str, list[str]] = {
 SIMILAR_QUERIES = ["I like {item_name}. What else is there?", "Something close to {item_name}, please.", "After {item_name}, what should I try?", "What resembles {item_name}?", "People who keep {item_name} also keep what?"]
 GENRE_QUERIES = ["My taste runs to {genre}; what fits?", "Show me {article} {genre} title.", "Any good {genre} pick?", "Tonight it should be {genre}.", "Which {genre} entry is worth a try?"]
 PAIR_QUERIES = ["Something both {genre} and {other}.", "I want a mix of {genre} and {other}.", "Any item that is {genre} as well as {other}?"]
-CATEGORY_QUERIES = ["{article} {genre} item with {category}.", "It should be {genre} and made for {category}.", "Find {genre} with {category}.", "Is there {article} {genre} title for {category}?"]
+CATEGORY_QUERIES = ["{article} {genre} item with {category}.", "It should be {genre} and have {category}.", "Find {genre} with {category}.", "Is there {article} {genre} title with {category}?"]
 # fixed values: the names of the curated categories; beside them, our own wording for queries
-CATEGORIES = {"Multi-player": "several players", "Co-op": "playing together", "PvP": "playing against others", "Single-player": "playing alone"}
+CATEGORIES = {"Multi-player": "several players", "Co-op": "teamwork", "PvP": "duels", "Single-player": "a solo mode"}
 RECOMMENDING = ("sequential", "asy", "similar_item", "nl_similar_item", "nl_preference")
 
 

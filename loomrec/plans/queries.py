@@ -341,7 +341,7 @@ many as (select genre, category from both_ where category in ('Multi-player', 'C
 ranked as (select b.*, row_number() over (partition by genre, category order by {hash_sql('category', 'genre', 'category', 'id')}, id) as r from both_ b join many using (genre, category))
 select 'c:' || genre || ':' || category || ':' || id as key,
 replace(replace(replace({choose_sql(tasks.CATEGORY_QUERIES, 'wish', "'c:' || genre || ':' || category || ':' || id")}, '{{article}}', {_ART.format('genre')}), '{{genre}}', {_NICE.format('genre')}), '{{category}}',
- case category when 'Multi-player' then 'multiplayer' when 'Co-op' then 'co-op' when 'PvP' then 'player versus player' else 'single player' end) as input,
+ case category {' '.join(f"when '{k}' then '{v}'" for k, v in tasks.CATEGORIES.items())} end) as input,
 sid as output, genre as genres, category as categories from ranked where r <= 10""")
 def nl_genre_category(spark, sf):
     return _nl(spark, sf, "c:")
