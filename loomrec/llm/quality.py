@@ -49,7 +49,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ago = np.minimum(np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets)), ORDER)
     early = np.flatnonzero(ago < ORDER - 1)
     out = key.copy()
-    for k in range(1, ORDER):
+    for k in range(1, min(ORDER, len(key))):
         out[k:] |= key[: len(key) - k] << (8 * k)
     # the first symbols of a text see its start instead of the text before
     for k in range(1, ORDER):

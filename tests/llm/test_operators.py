@@ -190,6 +190,26 @@ def test_quality(docs, empty, labels, spark):
     assert left.columns == docs.columns and left.count() == docs.count() - 2
 
 
+def test_grams_of_short_blocks():
+    """Blocks, and parts of blocks, of 0 to 5 bytes, alone and behind a text of over 1 MiB."""
+    long = np.tile(np.frombuffer(LONG.encode(), np.uint8), 1 + (1200 << 10) // len(LONG.encode()))
+    plain = lambda text: [int.from_bytes((b"\xff" * (quality.ORDER - 1) + text)[k : k + quality.ORDER], "big") for k in range(len(text))]
+    for n in range(6):
+        short = np.frombuffer(b"abcde"[:n], np.uint8)
+        assert quality.grams(short, np.array([0, n])).tolist() == plain(b"abcde"[:n])
+        keys, counts = quality.distinct_grams(np.concatenate([long, short]), np.array([0, len(long), len(long) + n]))
+        assert counts.sum() == len(long) + n and set(plain(b"abcde"[:n])) <= set(keys.tolist())
+
+
+def test_quality_of_short_texts(spark):
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    for texts in (["abc"], ["", "a", "ab", "abc", "abcd", "abcde", None], [LONG * 6, "abc"]):
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: r for r in quality.classify(rows, labels).collect()}
+        assert {k: r.n_symbols for k, r in got.items()} == {k: len(t or "") for k, t in enumerate(texts)}
+        assert {r.doc_id for r in quality.drop_low_quality(rows, labels).collect()} == {k for k, r in got.items() if r.keep}
+
+
 def test_quality_limits(spark):
     """Limits of each class, by its quantiles where it has rows enough, else by its language's, else by all."""
     rng = np.random.default_rng(0)
