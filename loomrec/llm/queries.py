@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrec.llm import ann, decontaminate, licences, neardup, pieces, quality, secrets, sharding, token_output, toxicity
+from loomrec.llm import ann, decontaminate, filter_audit, licences, neardup, pieces, quality, secrets, sharding, token_output, toxicity
 from loomrec.llm.common import ship
 
 
@@ -61,6 +61,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_docs(spark, sf_dir))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def sent(query: Callable) -> Callable:
         @functools.wraps(query)
@@ -74,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontaminate.ORACLE, "op8_near_duplicates": neardup.ORACLE}
+    return {"op4_decontamination": decontaminate.ORACLE, "op8_near_duplicates": neardup.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
