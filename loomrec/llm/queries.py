@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrec.llm import ann, decontaminate, filter_audit, licences, neardup, pieces, quality, secrets, sharding, token_output, topk, toxicity
+from loomrec.llm import ann, decontaminate, filter_audit, licences, names, neardup, pieces, quality, secrets, sharding, token_output, topk, toxicity
 from loomrec.llm.common import ship
 
 
@@ -61,6 +61,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_docs(spark, sf_dir))
 
 
+def op11_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.join_names(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("clients", "vendors")))
+
+
 def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -82,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontaminate.ORACLE, "op8_near_duplicates": neardup.ORACLE, "op12_top_products": topk.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
+    return {"op4_decontamination": decontaminate.ORACLE, "op8_near_duplicates": neardup.ORACLE, "op11_name_join": names.ORACLE, "op12_top_products": topk.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
