@@ -11,6 +11,7 @@ Shelves of the longest vectors come first, and give each query its threshold for
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from loomrec.llm.common import materialize, release, tidy
 SCALE = 64
 #: Vectors in a shelf and in a bucket of it; queries that visit a shelf together.
 SHELF_ROWS, BUCKET_ROWS, QUERY_BLOCK = 4096, 512, 1024
+#: Products in a task, about, beyond the session's number of partitions.
+TASK_PRODUCTS = 1 << 23
 #: A squared length of a vector of integers up to which its products with others like it fit a long.
 LARGEST = float(1 << 62)
 #: Products below this are exact in double precision.
@@ -269,13 +272,16 @@ def _blocks(asked: DataFrame, block_rows: int) -> DataFrame:
 def _meet(asked: DataFrame, stock: DataFrame, k: int, block_rows: int) -> DataFrame:
     """What queries find in those shelves of stock that can hold it, as a materialized table.
 
-    Blocks and shelves are long rows; only their numbers meet to tell which of them go together, and each pair is a task.
+    Blocks and shelves are long rows; only their numbers meet to tell which of them go together.
     """
     blocks = materialize(_blocks(asked, block_rows), "blocks")
-    pairs = blocks.select("block", "dim", "easiest").join(stock.select("shelf", "dim", "longest"), "dim")
-    pairs = materialize(pairs.where(F.col("longest") * (1 + EPS) >= F.col("easiest")).select("block", "shelf"), "pairs")
+    size = F.octet_length  # eight bytes an id
+    pairs = blocks.select("block", "dim", "easiest", size("asked").alias("q")).join(stock.select("shelf", "dim", "longest", size("ids").alias("x")), "dim")
+    pairs = materialize(pairs.where(F.col("longest") * (1 + EPS) >= F.col("easiest")).select("block", "shelf", (F.col("q") / 8.0 * F.col("x") / 8.0).alias("work")), "pairs")
     both = pairs.join(blocks, "block").join(stock.select("shelf", "ids", "vectors"), "shelf")
-    dealt = both.repartition(max(1, min(100_000, pairs.count())), "block", "shelf")
+    work = pairs.agg(F.sum("work")).first()[0] or 0.0
+    known = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(max(known, min(100_000, math.ceil(work / TASK_PRODUCTS))), "block", "shelf")
     found = materialize(dealt.select("dim", "asked", "queries", "least", "ids", "vectors").mapInArrow(tidy(_searched(k)), FOUND), "found")
     release(blocks, pairs)
     return found
