@@ -41,6 +41,8 @@ class Position:
     def __init__(self, schedule: Schedule, step: int = 0) -> None:
         self.schedule = schedule
         self.step = step
+        #: The rate that is in force: the first one before any step, then that of the last call of advance.
+        self.last = self.rate
 
     @property
     def rate(self) -> float:
@@ -51,9 +53,10 @@ class Position:
         return s.least + (s.peak - s.least) * 0.5 * (1 + math.cos(math.pi * progress))
 
     def advance(self) -> float:
-        """The rate of the next step."""
+        """The rate of this step, which comes into force; the place moves on behind it."""
+        self.last = self.rate
         self.step += 1
-        return self.rate
+        return self.last
 
     def state(self) -> dict[str, object]:
         return {"step": self.step, **asdict(self.schedule)}
@@ -66,20 +69,45 @@ class Position:
 
 @dataclass(frozen=True)
 class CodebookConfig:
-    """What a codebook's training takes; values that can't work are errors."""
+    """What a quantizer's training takes; values that can't work are errors. The defaults are fixed values of a standard run."""
 
     levels: int = 3
     size: int = 256
+    width: int = 32
+    hidden: tuple[int, ...] = (512, 256, 128)
+    normalize: bool = False
     beta: float = 0.1
+    batch: int = 32_768
+    epochs: int = 20_000
+    schedule: str = "cosine_with_warmup"
+    start: float = 1e-8
+    warmup: int = 200
+    peak: float = 3e-4
+    least: float = 1e-6
+    clip: float | None = 1.0
+    kmeans: bool = True
     starts: int = 10
+    reset_every: int = 2
+    least_usage: float = 1.0
     dominance: float = 0.5
-    schedule: str = "cosine_with_warmup"
+    val_share: float = 0.05
+    val_every: int = 1
+    save_every: int = 500
+    seed: int = 0
 
     def __post_init__(self) -> None:
-        if min(self.levels, self.size, self.starts) < 1 or self.beta < 0 or not 0 < self.dominance <= 1:
+        positive = (self.levels, self.size, self.width, self.starts, self.batch, self.epochs, self.val_every, self.save_every, *self.hidden)
+        if min(positive) < 1 or self.beta < 0 or not 0 < self.dominance <= 1 or not 0 < self.val_share < 1 or self.reset_every < 0 or (self.clip is not None and self.clip <= 0):
             raise ValueError(f"impossible settings: {self}")
         Schedule(1, kind=self.schedule)
 
+    def state(self) -> dict[str, object]:
+        return asdict(self) | {"hidden": list(self.hidden)}
+
+    @classmethod
+    def restored(cls, state: dict[str, object]) -> CodebookConfig:
+        return cls(**(state | {"hidden": tuple(state["hidden"])}))
+
 
 @dataclass(frozen=True)
 class WarmupConfig:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomrec.functions.determinism import choose, hash_key, sample_per_group
 from loomrec.functions.text import SID_END, SID_START, article, fill, natural_genre
-from loomrec.operators.rebalance import cap_exposure, rebalance, split_by_group, split_within_group
+from loomrec.operators.rebalance import cap_exposure, rebalance, split_by_group, split_joint, split_within_group
 
 # our own wording, by task
 INSTRUCTIONS: dict[str, list[str]] = {
@@ -110,8 +110,12 @@ def nl_preference(items: DataFrame, seed: int = 0, min_genre: int = 100, min_com
     return made.unionByName(example(both, "nl_preference", seed, key, query, F.col("sid"), F.col("id"), F.struct(F.array("genre").alias("genres"), F.array("category").alias("categories"))))
 
 
-def build(pairs: DataFrame, partners: DataFrame, items: DataFrame, seed: int = 0, share: float = 0.05, exposure: int = 40, **nl) -> DataFrame:
-    """All seven tasks, rebalanced, capped together and split, with columns split and copy."""
+def build(pairs: DataFrame, partners: DataFrame, items: DataFrame, seed: int = 0, share: float = 0.05, exposure: int = 40, joint: bool = False, **nl) -> DataFrame:
+    """All seven tasks, rebalanced, capped together and split, with columns split and copy.
+
+    Each task is split by itself, so a target may be in train for one and in val for another; joint splits the targets of all
+    recommending tasks together.
+    """
     pairs, partners, items = (x.persist() for x in (pairs, partners, items))
     balanced = rebalance(pairs, "target", 5, 50, seed, "user_id", "pos")
     # a copied pair is an example of its own
@@ -124,7 +128,7 @@ def build(pairs: DataFrame, partners: DataFrame, items: DataFrame, seed: int = 0
     pooled = sequential.withColumn("copy", zero).unionByName(asy.withColumn("copy", zero)).unionByName(similar_item).unionByName(nl_similar).unionByName(nl_preference(items, seed, **nl).withColumn("copy", zero))
     # seven splits read it; a lost part is computed again
     capped = cap_exposure(pooled, "_target", exposure, seed, "task", "_key", "copy").persist()
-    parts = [split_by_group(capped.where(F.col("task") == t), "_target", share, seed) for t in RECOMMENDING]
+    parts = [split_joint(capped, "_target", share, seed)] if joint else [split_by_group(capped.where(F.col("task") == t), "_target", share, seed) for t in RECOMMENDING]
     parts += [split_within_group(x, "_target", share, seed, "_key", "copy") for x in grounding(items, seed)]
     out = parts[0]
     for x in parts[1:]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomrec.functions.schedule import adaptive_batch_size
-from loomrec.sources.files import read_token_matrix, write_token_matrix
+from loomrec.sources.files import Ledger, read_token_matrix, write_token_matrix
 
 
 def word_ids(df: DataFrame, column: str, size: int = 30_000) -> DataFrame:
@@ -108,22 +108,45 @@ def left_to_do(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def embed_job(df: DataFrame, key: str, column: str, encoder: Callable[[list[str]], np.ndarray], path: str, parts: int = 16) -> DataFrame:
     """key and embedding of every row of df, read from path, where a job that was stopped goes on.
 
-    Rows are dealt to parts by a hash of key; each part is written by itself once, so what has been
-    written stays. key tells rows apart. An embedding too many or too few is an error.
+    df is read once: its rows are dealt to parts by a hash of key and written under path. A part's embeddings are
+    written by themselves and then entered in the ledger, with their number and a checksum; parts that the ledger has
+    are not done again, what else lies in their folders is written anew. While parts are left, another number of rows
+    or parts is an error; once all are done, a table that has grown is dealt again, without the keys that are there.
+    key tells rows apart. Embeddings too many or too few are an error.
     """
     spark = df.sparkSession
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = lambda: files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files)
+    book = Ledger(spark, f"{path}/ledger")
     kind = T.StructType([df.schema[key], T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    items = df.count()
+    begun = book.entries()
+    heads = sorted((e for e in begun if e["part"] < 0), key=lambda e: e["turn"])
+    done = {(e["turn"], e["part"]) for e in begun if e["part"] >= 0}
+    last = heads[-1] if heads else None
+    whole = last is None or all((last["turn"], k) in done for k in range(last["parts"]))
+    if not whole and (last["items"], last["parts"]) != (items, parts):
+        raise ValueError(f"{path} was begun with {last['items']} rows in {last['parts']} parts, not {items} in {parts}")
+    if whole and (last is None or items > last["items"]):
+        turn = last["turn"] + 1 if last else 0
+        todo = df.select(key, column)
+        if last:
+            todo = left_to_do(todo, spark.read.schema(kind).parquet(f"{path}/embeddings"), key)
+        dealt = todo.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        dealt.repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(f"{path}/input-{turn}")
+        book.enter(f"turn-{turn}", turn=turn, part=-1, items=items, parts=parts)
+        last = {"turn": turn}
+    turn = last["turn"]
+    given = T.StructType([df.schema[key], df.schema[column], T.StructField("_part", T.IntegerType())])
     for part in range(parts):
-        todo = df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
-        if there():
-            todo = left_to_do(todo, spark.read.schema(kind).parquet(path), key)
-        embed(todo, column, encoder).select(key, "embedding").write.mode("append").parquet(path)
-    out = spark.read.schema(kind).parquet(path)
-    if (n := out.count()) != (items := df.count()):
+        if (turn, part) in done:
+            continue
+        todo = spark.read.schema(given).parquet(f"{path}/input-{turn}").where(F.col("_part") == part).select(key, column)
+        folder = f"{path}/embeddings/turn={turn}/part={part}"
+        embed(todo, column, encoder).select(key, "embedding").write.mode("overwrite").parquet(folder)
+        rows, checksum = spark.read.schema(kind).parquet(folder).agg(F.count("*"), F.sum(F.xxhash64(key, "embedding").cast("decimal(38,0)"))).first()
+        book.enter(f"part-{turn}-{part}", turn=turn, part=part, rows=rows, checksum=str(checksum or 0))
+    if (n := sum(e["rows"] for e in book.entries() if e["part"] >= 0)) != items:
         raise ValueError(f"{n} embeddings were written for {items} rows")
-    return out
+    return spark.read.schema(kind).parquet(f"{path}/embeddings").select(key, "embedding")
 
 
 def embedding_pipeline(df: DataFrame, key: str, column: str, tokenizer: Callable[[list[str]], list[list[int]]], encoder: Callable[[list[str]], np.ndarray], path: str, width: int = 2000) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomrec.functions import schedule, text, vectors
 from loomrec.functions.determinism import pick
-from loomrec.operators import drivers, evaluate, export, pairs, prep, profile, quantize, rebalance, semantic_ids, tasks, tokenize, trie
+from loomrec.operators import codebook_train, decode, drivers, evaluate, export, pairs, prep, profile, quantize, rebalance, rqvae, semantic_ids, tasks, tokenize, trie
 from loomrec.operators import items as it
 from loomrec.plans import fixtures as fx
 from loomrec.plans.fixtures import CATALOG, CODES, COOC, IDS, INTER, ITEMS, LEVELS, LONG_TAIL, PAIRS, SEQ, STRIP, choose_sql, hash_sql, pick_sql
@@ -418,7 +418,41 @@ def sft_dataset(spark, sf):
     return _dataset(spark, sf).groupBy("task", "split").agg(F.count("*").alias("n"), F.count_distinct("_target").alias("targets"))
 
 
-@query(None)
+_REROLLED = lambda task, key: f"case when copy = 0 then {choose_sql(tasks.INSTRUCTIONS[task], f'instruction-{task}', key)} else {choose_sql(tasks.INSTRUCTIONS[task], 'reroll', 'target', 'cast(copy as varchar)')} end"
+_ROWS = f"""{_SFT_PARTS}, {ITEMS}, step as (select user_id, pos, unnest(history) as id, generate_subscripts(history, 1) as i from pairs),
+given as (select user_id, pos, string_agg(sid, ' ' order by i) as input from step join sids using (id) group by all),
+seq_rows as (select bal.target, user_id || case when copy > 0 then '#' || copy else '' end || ':' || pos as key, input from bal join given using (user_id, pos)),
+nl_rows as (select * from ({ORACLE['nl_genre']}) union all select * from ({ORACLE['nl_genre_pair']}) union all select * from ({ORACLE['nl_genre_category']})),
+body as (
+  select 'sequential' as task, key, 0 as copy, target, {choose_sql(tasks.INSTRUCTIONS['sequential'], 'instruction-sequential', 'key')} as instruction, input, sid as output, '' as genres, '' as categories from seq_rows join items on items.id = target
+  union all select 'asy', key, 0, target, {choose_sql(tasks.INSTRUCTIONS['asy'], 'instruction-asy', 'key')}, input, short_desc, '', '' from seq_rows join items on items.id = target
+  union all select 'similar_item', key, copy, target, {_REROLLED('similar_item', 'key')}, s.sid, p.sid, '', '' from sim join sids s on s.id = split_part(key, ':', 1) join sids p on p.id = target
+  union all select 'nl_similar_item', key, copy, target, {_REROLLED('nl_similar_item', 'key')}, replace({choose_sql(tasks.SIMILAR_QUERIES, 'query', 'key')}, '{{item_name}}', s.name), p.sid, '', '' from sim join items s on s.id = split_part(key, ':', 1) join sids p on p.id = target
+  union all select 'nl_preference', key, 0, regexp_extract(key, '[^:]*$'), {choose_sql(tasks.INSTRUCTIONS['nl_preference'], 'instruction-nl_preference', 'key')}, input, output, genres, categories from nl_rows),
+grounded as (select task, id as key, copy, id as target, instruction, input, output, row_number() over (partition by task, id order by {hash_sql('within', 'id', 'id', 'cast(copy as varchar)')}, copy) as r from ({_grounding_sql()})),
+rows_ as (
+  select task, case when k <= greatest(1, cast(floor(n * 0.05::double) as bigint)) then 'val' else 'train' end as split, key, cast(copy as integer) as copy, target, instruction, input, output, genres, categories
+  from body join capped using (task, target, key, copy) join grp using (task, target)
+  union all select task, case when r = 1 then 'val' else 'train' end, key, copy, target, instruction, input, output, '', '' from grounded)"""
+
+
+@query(f"{_ROWS} select * from rows_")
+def sft_rows(spark, sf):
+    """Every row of the built dataset."""
+    both = (F.coalesce(F.array_join(f"criteria.{c}", ","), F.lit("")).alias(c) for c in ("genres", "categories"))
+    return _dataset(spark, sf).select("task", "split", F.col("_key").alias("key"), "copy", F.col("_target").alias("target"), "instruction", "input", "output", *both)
+
+
+@query(f"""{_SFT_PARTS}, every as (select target, row_number() over (order by {hash_sql('group', 'target')}, target) as k, count(*) over () as n from (select distinct target from capped))
+select task, key, cast(copy as integer) as copy, target, case when k <= greatest(1, cast(floor(n * 0.05::double) as bigint)) then 'val' else 'train' end as split from capped join every using (target)""")
+def joint_split(spark, sf):
+    """The recommending tasks split together: no target is in train for one and in val for another."""
+    rows = tasks.build(_pairs(spark, sf), _partners(spark, sf), fx.items(spark, sf), joint=True, min_genre=60, min_combo=15)
+    return rows.where(F.col("task").isin(*tasks.RECOMMENDING)).select("task", F.col("_key").alias("key"), "copy", F.col("_target").alias("target"), "split")
+
+
+@query(f"""{_ROWS}, few as (select * from rows_ where split = 'train' and task in ('grounding_id2name', 'grounding_name2id') order by {hash_sql('stage1', 'task', 'key', 'cast(copy as varchar)')}, task, key, copy limit 20000)
+select task, key as _key, copy, 'Below is a task with its input. Write the answer.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Input:' || chr(10) || input || chr(10) || chr(10) || '### Response:' || chr(10) as prompt, output as completion from few""")
 def training_sample(spark, sf):
     df = tasks.training_sample(_dataset(spark, sf), 20_000, 0, grounding_only=True)
     return df.select("task", "_key", "copy", text.alpaca_prompt(F.col("instruction"), F.col("input")).alias("prompt"), F.col("output").alias("completion"))
@@ -643,9 +677,22 @@ def middle_group(spark, sf):
 
 @query(None)
 def kmeans_codebook(spark, sf):
-    from loomrec.operators.codebook_train import train
+    """What each level of a trained codebook leaves: the best of ten starts each, on the first 16 principal components."""
+    rows = codebook_train.projected(fx.vectors(spark, sf), 16).select("id", F.col("z").alias("embedding")).persist()
+    book = codebook_train.train(rows, LEVELS, CODES, tuple(range(10)))
+    return codebook_train.errors(rows, book).select("level", F.round("error", 4).alias("error"))
+
+
+TRAINING = schedule.CodebookConfig(levels=LEVELS, size=CODES, width=8, hidden=(64,), batch=1 << 15, epochs=8, warmup=2, peak=3e-3, starts=3, reset_every=4, seed=0)
 
-    return train(fx.vectors(spark, sf), LEVELS, CODES).select("level", "code", F.size("vector").alias("width"))
+
+@query(None)
+def quantizer_training(spark, sf):
+    """prefix, step and losses of each step of a short training, and of the validation after each epoch."""
+    rows = fx.vectors(spark, sf).withColumn("embedding", F.transform("embedding", lambda x: x * 8))  # of unit variance
+    _, log = rqvae.train(rows, TRAINING)
+    rows = [(m["prefix"], m["step"], *(round(float(m[k]), 5) for k in ("loss", "recon_loss", "vq_loss"))) for m in log]
+    return spark.createDataFrame(rows, "prefix string, step long, loss double, recon_loss double, vq_loss double")  # a row a step
 
 
 @query(f"with {_V} select count(*) as pairs, round(max(list_sum(list_transform(list_zip(x.e, y.e), lambda p: p[1] * p[2]))), 6) as largest from v x, v y where x.id < y.id")
@@ -713,6 +760,42 @@ def beam_search(spark, sf):
     return out.select("query", F.col("rank").cast("long").alias("rank"), "tokens", F.round("logp", 6).alias("logp"))
 
 
+_SCORE = "case when token = '-1' then 0.0 else -(cast('0x' || substr(md5(concat_ws('|', '0', 'score', query, b.prefix, token)), 1, 8) as bigint) % 1000) / 100.0::double end"
+_NAME_TREE = """wordy as (select list_append(string_split(d, ' '), '-1') as t from (select short_desc as d from items union select long_desc from items)),
+name_tree as (select distinct array_to_string(t[1:i - 1], ' ') as prefix, t[i] as token from wordy, range(1, 400) r(i) where i <= len(t))"""
+
+
+def _walk_sql(asked: str, tree: str, beams: int) -> str:
+    """The CTE beam: paths of queries (query, kind) over tree (kind, prefix, token), a step at a time; done marks whole ones."""
+    return f"""beam as (select query, kind, '' as prefix, 0.0::double as logp, false as done from {asked}
+union all select query, kind, case when token = '-1' or prefix = '' then case when token = '-1' then prefix else token end else prefix || ' ' || token end, logp, token = '-1'
+from (select b.query, b.kind, b.prefix, t.token, b.logp + {_SCORE} as logp, row_number() over (partition by b.query order by b.logp + {_SCORE} desc, b.prefix, t.token) as r
+  from beam b join {tree} t on t.kind = b.kind and t.prefix = b.prefix where not b.done) where r <= {beams})"""
+
+
+def _flat_trees(spark, sf) -> dict[str, decode.Tree]:
+    forms = fx.items(spark, sf).select(F.explode(F.array_distinct(F.array("short_desc", "long_desc"))).alias("d"))
+    return {"sid": decode.tree(_paths(spark, sf)), "name": decode.tree(forms.select(F.split("d", " ").alias("tokens")))}
+
+
+@query(f"""with recursive {_TRIE}, asked as (select 'c' || c_custkey as query, 'sid' as kind from customer), tree as (select 'sid' as kind, prefix, token from trie),
+{_walk_sql('asked', 'tree', 5)} select query, cast(row_number() over (partition by query order by logp desc, prefix) as integer) as rank, prefix as tokens, round(logp, 6) as logp from beam where done qualify rank <= 5""")
+def batched_beams(spark, sf):
+    """Five ids for each customer, all steps of a search inside one task."""
+    asked = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("query"))
+    out = decode.beam_search(asked, {"sid": decode.tree(_paths(spark, sf))}, {"sid": decode.hash_scorer()}, 5)
+    return out.select("query", "rank", "tokens", F.round("logp", 6).alias("logp"))
+
+
+@query(f"""with recursive {ITEMS}, {_NAME_TREE}, asked as (select 's' || s_suppkey as query, 'name' as kind from supplier), tree as (select 'name' as kind, prefix, token from name_tree),
+{_walk_sql('asked', 'tree', 3)} select query, cast(row_number() over (partition by query order by logp desc, prefix) as integer) as rank, prefix as tokens, round(logp, 6) as logp from beam where done qualify rank <= 3""")
+def decoded_names(spark, sf):
+    """Three descriptions for each supplier, word by word."""
+    asked = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("query"))
+    out = decode.beam_search(asked, {"name": _flat_trees(spark, sf)["name"]}, {"name": decode.hash_scorer()}, 3, drivers.NAME_TOKENS)
+    return out.select("query", "rank", "tokens", F.round("logp", 6).alias("logp"))
+
+
 def _held_out(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Interactions but the last item of each user, and that item."""
     seq = fx.seq(spark, sf).where("n >= 2")
@@ -841,3 +924,33 @@ def top_item_first_rows(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("item_id"), "l_orderkey", "l_linenumber", "l_shipdate")
     top = rows.groupBy("item_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item_id").limit(5)
     return it.first_values(top, rows, "item_id", "l_shipdate", "l_orderkey", "l_linenumber")
+
+
+_MODEL_EVALUATION = f"""{_ROWS.replace('with ', 'with recursive ', 1)}, {_NAME_TREE},
+few as (select *, concat_ws('|', task, key, cast(copy as varchar), instruction, input) as query, case when task in ('grounding_id2name', 'asy') then 'name' else 'sid' end as kind
+  from (select *, row_number() over (partition by task order by {hash_sql('evaluation', 'task', 'key', 'cast(copy as varchar)')}, key, copy) as nth from rows_ where split = 'val') where nth <= 500),
+coded as (select ['<|sid_start|>', '<|L0_' || c0 || '|>', '<|L1_' || c1 || '|>', '<|L2_' || c2 || '|>', '<|L3_' || d || '|>', '<|sid_end|>', '-1'] as t from ids),
+tree as (select 'name' as kind, prefix, token from name_tree union all select distinct 'sid', array_to_string(t[1:i - 1], ' '), t[i] from coded, range(1, 8) r(i)),
+{_walk_sql('few', 'tree', 10)},
+found as (select query, kind, row_number() over (partition by query order by logp desc, prefix) as rank, case when kind = 'name' then prefix else replace(prefix, ' ', '') end as candidate from beam where done qualify rank <= 10),
+called as (select d, max_by(name, id) as name from (select id, name, short_desc as d from items union all select id, name, long_desc from items) group by d),
+cand as (select query, rank, coalesce(name, candidate) as candidate from found left join called on kind = 'name' and d = candidate),
+sets as (select sid, max_by(string_split(genres, ','), id) as g, max_by(string_split(categories, ','), id) as c from items group by sid),
+goal as (select few.*, coalesce(name, output) as goal from few left join called on kind = 'name' and d = output),
+hits as (select query, min(rank) as rank from (
+  select goal.query, rank from goal join cand using (query) where task <> 'nl_preference' and candidate = goal
+  union all select goal.query, rank from goal join cand using (query) join sets on sets.sid = candidate
+    where task = 'nl_preference' and list_has_all(g, string_split(goal.genres, ',')) and (goal.categories = '' or list_has_all(coalesce(c, []), string_split(goal.categories, ',')))) group by query),
+k as (select unnest([5, 10]) as k)"""
+
+
+@query(f"""{_MODEL_EVALUATION}
+select task, cast(k as integer) as k, count(*) as n, round(avg(case when rank <= k then 1.0 else 0.0 end), 6) as recall, round(avg(case when rank <= k then 1 / log2(rank + 1) else 0.0 end), 6) as ndcg
+from goal left join hits using (query), k group by all""")
+def model_evaluation(spark, sf):
+    """Seven tasks under constrained beam search over the whole trees of ids and descriptions, by a scorer that stands for a model."""
+    rows = fx.items(spark, sf)
+    tokens = rows.select(F.split("sid", r"(?<=>)(?=<)").alias("tokens"))
+    trees = _flat_trees(spark, sf) | {"sid": decode.tree(tokens)}
+    out = drivers.decoded_evaluation(_dataset(spark, sf).where("split = 'val'"), rows, trees, dict.fromkeys(trees, decode.hash_scorer()), {"sid": "", "name": " "})
+    return out.select("task", "k", "n", F.round("recall", 6).alias("recall"), F.round("ndcg", 6).alias("ndcg"))

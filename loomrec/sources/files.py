@@ -6,7 +6,7 @@ import json
 import logging
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,8 +78,13 @@ def read_token_matrix(spark: SparkSession, path: str, items: int) -> DataFrame:
     return df
 
 
-def save_model(weights: DataFrame, codebook: DataFrame, path: str, state: dict[str, object] | None = None) -> None:
-    """A model as tables: weights (layer, row, values), codebook (level, code, vector) and one row of state: step, best loss, schedule, settings."""
+def save_model(weights: DataFrame, codebook: DataFrame, path: str, state: dict[str, object] | None = None, moments: DataFrame | None = None) -> None:
+    """A model as tables: weights (layer, row, values), codebook (level, code, vector) and one row of state: step, best loss, schedule, settings.
+
+    An optimizer's moments go to a table of their own. The state is written last.
+    """
+    if moments is not None:
+        moments.write.mode("overwrite").parquet(f"{path}/moments")
     weights.write.mode("overwrite").parquet(f"{path}/weights")
     codebook.write.mode("overwrite").parquet(f"{path}/codebook")
     codebook.sparkSession.createDataFrame([(json.dumps(state or {}),)], "value string").write.mode("overwrite").text(f"{path}/state")
@@ -113,6 +118,50 @@ def write_dataset(df: DataFrame, path: str, seed: int = 0) -> None:
         write_examples(shuffled(df.where(F.col("split") == split), seed, f"order-{split}", "task", "_key", "copy"), f"{path}/{split}")
 
 
+class Ledger:
+    """What a job has finished: one small file an entry, written beside and renamed, so that an entry is whole or not there."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        self._jvm = spark.sparkContext._jvm
+        self._folder = self._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def entries(self) -> list[dict[str, object]]:
+        if not self._fs.exists(self._folder):
+            return []
+        names = [x.getPath().toString() for x in self._fs.listStatus(self._folder) if x.getPath().getName().endswith(".json")]
+        return [json.loads(r["value"]) for r in self.spark.read.text(names).collect()] if names else []
+
+    def enter(self, name: str, **values: object) -> None:
+        """An entry; an earlier one of the same name stays."""
+        hidden, final = (self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}") for x in (f".{name}", f"{name}.json"))
+        out = self._fs.create(hidden, True)
+        out.write(bytearray(json.dumps(values).encode()))
+        out.close()
+        if not self._fs.rename(hidden, final) and not self._fs.exists(final):
+            raise OSError(f"no entry could be made at {final}")
+
+
+def write_by_task(df: DataFrame, path: str, *order: str | Column, files: int | None = None) -> None:
+    """Examples in one folder a task, in the given order over its files, of which there are at most files, by default what Spark sees fit."""
+    rows = df.repartitionByRange(files, *order).sortWithinPartitions(*order) if files else df.orderBy(*order)
+    rows = rows.select("instruction", "input", "output", "task", "criteria")
+    rows.write.mode("overwrite").partitionBy("task").json(path)
+
+
+def read_tasks(spark: SparkSession, path: str, *tasks: str) -> DataFrame:
+    """Examples of tasks (of all, if none is named) with place, which rises in the order of the files; other tasks' files aren't read.
+
+    place holds the file, the start of the block that a task of Spark read of it, and the row in that.
+    """
+    rows = spark.read.schema(SFT).json(path)
+    if tasks:
+        rows = rows.where(F.col("task").isin(*tasks))
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return rows.withColumn("place", place)
+
+
 def logger(name: str, level: int = logging.INFO, file: str | None = None) -> logging.Logger:
     """A logger of the driver; the root's console and file handlers are set up by the first call."""
     root = logging.getLogger("loomrec")
