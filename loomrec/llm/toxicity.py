@@ -2,8 +2,9 @@
 
 A lexicon of words and word beginnings with their log-odds is learnt from labelled rows.
 Features are lexicon densities, second-person words near lexicon words, and the rates of
-capitals, punctuation and obfuscated words. Histogram-based boosted trees are fitted on the
-driver to a bounded sample of labelled rows and calibrated by isotonic regression.
+capitals, punctuation and obfuscated words; they are computed in tasks, as is the lexicon.
+Histogram-based boosted trees are fitted on the driver to the features of a bounded sample of
+labelled rows and calibrated by isotonic regression.
 """
 
 from __future__ import annotations
@@ -19,11 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomrec.llm.common import tidy, utf8_parts
+from loomrec.llm.common import materialize, release, tidy, utf8_parts
 from loomrec.llm.shingles import blocks
 
 #: Labelled rows that the model is fitted to, at most; all rows are scored.
 FIT_ROWS = 6_000
+#: Parts of them: a row's features come from a lexicon of the other parts.
+FOLDS = 3
+#: Texts of label 1 that hold a unit of the lexicon, at least, and its log-odds, at least.
+LEAST, ODDS = 3, 2.5
+#: The largest log-odds of a text that count, so that length alone adds nothing.
+STRONGEST = 50
 PREFIXES = (4, 5, 6)
 NEAR = 5
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer usted ustedes tú ti vosotros".split())
@@ -50,19 +57,52 @@ class _Units(dict):
         return out
 
 
-def learn_lexicon(texts: list[str], labels: np.ndarray, least: int = 3, odds: float = 2.5) -> dict[str, float]:
+def learn_lexicon(texts: list[str], labels: np.ndarray, least: int = LEAST, odds: float = ODDS) -> dict[str, float]:
     """Log-odds of words and beginnings that mark label 1, by the number of texts that hold them."""
     of, toxic, clean = _Units(), Counter(), Counter()
     for text, label in zip(texts, labels, strict=True):
         (toxic if label else clean).update({u for w in set(text.split()) for u in of[w]})
-    ones, zeros = max(1, int(labels.sum())), max(1, int(len(labels) - labels.sum()))
-    found = {}
-    for unit, n in toxic.items():
-        if n >= least:
-            value = math.log((n + 0.5) / (ones + 1)) - math.log((clean[unit] + 0.5) / (zeros + 1))
-            if value >= odds:
-                found[unit] = value
-    return found
+    ones, zeros = int(labels.sum()), int(len(labels) - labels.sum())
+    values = {unit: log_odds(n, clean[unit], ones, zeros) for unit, n in toxic.items() if n >= least}
+    return {unit: v for unit, v in values.items() if v >= odds}
+
+
+def log_odds(toxic: int, clean: int, ones: int, zeros: int) -> float:
+    """Of a unit that so many texts of either label hold, out of so many."""
+    return math.log((toxic + 0.5) / (max(1, ones) + 1)) - math.log((clean + 0.5) / (max(1, zeros) + 1))
+
+
+def learn_lexicons(rows: DataFrame, labels: np.ndarray, fold_of: np.ndarray, least: int = LEAST, odds: float = ODDS) -> list[dict[str, float]]:
+    """learn_lexicon without each fold, and of all: units are counted in tasks over rows (text, _toxic, _fold), those that qualify come back."""
+    folds = int(fold_of.max()) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, counts = _Units(), Counter()
+        for batch in batches:
+            for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "_toxic", "_fold")), strict=True):
+                counts.update((u, label * folds + fold) for u in {u for w in set(text.split()) for u in of[w]})
+        keys = list(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["unit", "k", "n"])
+
+    each = rows.select("text", "_toxic", "_fold").mapInArrow(tidy(run), "unit string, k int, n long").groupBy("unit").agg(*(F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2 * folds)))
+    out: list[dict[str, float]] = []
+    wanted = None
+    parts = []
+    for left_out in [*range(folds), None]:
+        keep = [k for k in range(folds) if k != left_out]
+        ones, zeros = (int(((labels == v) & np.isin(fold_of, keep)).sum()) for v in (1, 0))
+        toxic, clean = (sum(F.col(f"n{v * folds + k}") for k in keep) for v in (1, 0))
+        # a little less than the limit, which the driver applies
+        near = F.log((toxic + 0.5) / (max(1, ones) + 1)) - F.log((clean + 0.5) / (max(1, zeros) + 1)) >= odds - 1e-6
+        some = (toxic >= least) & near
+        wanted = some if wanted is None else wanted | some
+        parts.append((keep, ones, zeros))
+    found = each.where(wanted).collect()  # the lexicons
+    for keep, ones, zeros in parts:
+        sums = ((r["unit"], sum(r[f"n{folds + k}"] for k in keep), sum(r[f"n{k}"] for k in keep)) for r in found)
+        values = {u: log_odds(t, c, ones, zeros) for u, t, c in sums if t >= least}
+        out.append({u: v for u, v in values.items() if v >= odds})
+    return out
 
 
 class Odds(dict):
@@ -120,7 +160,7 @@ def word_features(text: str, odds_of: Odds) -> list[float]:
         after = np.searchsorted(second, at)
         near = int(((np.abs(second[np.minimum(after, len(second) - 1)] - at) <= NEAR) | (np.abs(second[np.maximum(after - 1, 0)] - at) <= NEAR)).sum())
     odds = sorted(hits.values(), reverse=True)
-    return [math.log1p(n), 100 * len(at) / n, sum(odds[:50]), odds[0], len(odds), near / len(at), 100 * len(second) / n]
+    return [math.log1p(n), 100 * len(at) / n, sum(odds[:STRONGEST]), odds[0], len(odds), near / len(at), 100 * len(second) / n]
 
 
 def features(texts: pa.Array, odds_of: Odds) -> np.ndarray:
@@ -228,55 +268,97 @@ class Model:
         return np.clip(np.interp(raw, self.knots, self.values) * 0.999 + 0.001 / (1 + np.exp(-raw)), 0, 1)
 
 
-def fit(texts: list[str], labels: np.ndarray, folds: int = 3) -> Model:
-    """A model from labelled texts. With one label only, its share is every text's score.
-
-    Each fold's features come from a lexicon learnt on the other folds, and its raw scores,
-    for the calibration, from trees fitted to them.
-    """
-    labels = np.asarray(labels, float)
+def dealt(labels: np.ndarray, folds: int) -> np.ndarray | None:
+    """The fold of each row, so that each fold gets its share of either label; None where there is nothing to tell apart."""
     if len(labels) < 2 * folds or labels.min() == labels.max():
-        return Model({}, None, np.zeros(1), np.array([labels.mean() if len(labels) else 0.0]))
-    part = np.arange(len(labels)) % folds
-    order = np.argsort(labels, kind="stable")  # so that each fold gets its share of either label
-    fold_of = np.empty(len(labels), int)
-    fold_of[order] = part
-    x = np.zeros((len(labels), len(FEATURES)))
-    for k in range(folds):
-        rest = np.flatnonzero(fold_of != k)
-        own = np.flatnonzero(fold_of == k)
-        x[own] = features(pa.array([texts[i] for i in own], pa.string()), Odds(learn_lexicon([texts[i] for i in rest], labels[rest])))
+        return None
+    out = np.empty(len(labels), int)
+    out[np.argsort(labels, kind="stable")] = np.arange(len(labels)) % folds
+    return out
+
+
+def constant(labels: np.ndarray) -> Model:
+    """The model of rows with one label only, or too few: its share is every text's score."""
+    return Model({}, None, np.zeros(1), np.array([labels.mean() if len(labels) else 0.0]))
+
+
+def fitted(x: np.ndarray, labels: np.ndarray, fold_of: np.ndarray, lexicon: dict[str, float]) -> Model:
+    """A model from features, each row's from a lexicon of the other folds; the raw scores for the calibration come from trees fitted to these."""
     raw = np.zeros(len(labels))
-    for k in range(folds):
+    for k in range(int(fold_of.max()) + 1):
         own, rest = fold_of == k, fold_of != k
         raw[own] = Boosted().fit(x[rest], labels[rest]).raw(x[own])
     knots, values = isotonic(raw, labels)
-    return Model(learn_lexicon(texts, labels), Boosted().fit(x, labels), knots, values)
+    return Model(lexicon, Boosted().fit(x, labels), knots, values)
+
+
+def fit(texts: list[str], labels: np.ndarray, folds: int = FOLDS) -> Model:
+    """A model from a few labelled texts at hand; train does the same over a table."""
+    labels = np.asarray(labels, float)
+    fold_of = dealt(labels, folds)
+    if fold_of is None:
+        return constant(labels)
+    x = np.zeros((len(labels), len(FEATURES)))
+    for k in range(folds):
+        own, rest = np.flatnonzero(fold_of == k), np.flatnonzero(fold_of != k)
+        x[own] = features(pa.array([texts[i] for i in own], pa.string()), Odds(learn_lexicon([texts[i] for i in rest], labels[rest])))
+    return fitted(x, labels, fold_of, learn_lexicon(texts, labels))
 
 
 def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int = FOLDS) -> Model:
     """A model from at most fit_rows labelled rows of docs that are not held out.
 
-    The rows with the least hashes of doc_id are taken, so that labels keep their shares.
-    Rows with a null label or text are not learnt from.
+    The rows with the least hashes of doc_id are taken, so that labels keep their shares. A
+    doc_id with both labels is left out, as are null labels and texts; of several texts of a
+    doc_id the one of the least hash is taken. Texts stay in tasks: units are counted and
+    features computed there; a lexicon and 13 numbers a row come to the driver.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("_toxic")).where(F.col("doc_id").isNotNull() & F.col("_toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = known.dropDuplicates(["doc_id"])
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit("toxicity"))).limit(fit_rows)  # two integers a row
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_toxic").toPandas()
-    rows = rows.sort_values("doc_id").drop_duplicates("doc_id")
-    return fit(rows["text"].tolist(), rows["_toxic"].to_numpy(float))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("_toxic")).where(F.col("doc_id").isNotNull() & F.col("_toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("_toxic").alias("_toxic"), F.max("_toxic").alias("_most")).where(F.col("_toxic") == F.col("_most")).drop("_most")
+    chosen = known.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(fit_rows)  # two integers a row
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    own = F.struct(F.xxhash64("text").alias("h"), "text")
+    rows = materialize(rows.groupBy("doc_id", "_toxic").agg(F.min(own).alias("t")).select("doc_id", "_toxic", F.col("t.text").alias("text")), "labelled")
+    ids = sorted((r["doc_id"], r["_toxic"]) for r in rows.select("doc_id", "_toxic").collect())
+    y = np.array([v for _, v in ids], float)
+    fold_of = dealt(y, folds)
+    if fold_of is None:
+        release(rows)
+        return constant(y)
+    spark = docs.sparkSession
+    places = spark.createDataFrame([(i, k, int(f)) for k, ((i, _), f) in enumerate(zip(ids, fold_of, strict=True))], "doc_id long, _place int, _fold int")
+    rows = rows.join(F.broadcast(places), "doc_id")
+    *lexicons, lexicon = learn_lexicons(rows, y, fold_of)
+    sent = spark.sparkContext.broadcast(lexicons)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odds_of = [Odds(x) for x in sent.value]
+        for batch in batches:
+            fold, place, text = (batch.column(c) for c in ("_fold", "_place", "text"))
+            for k in range(folds):
+                at = pa.array(np.flatnonzero(fold.to_numpy() == k))
+                if len(at):
+                    x = features(text.take(at), odds_of[k])
+                    yield pa.RecordBatch.from_arrays([place.take(at), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["place", "x"])
+
+    x = np.zeros((len(y), len(FEATURES)))
+    for r in rows.select("_fold", "_place", "text").mapInArrow(tidy(run), "place int, x array<double>").collect():
+        x[r["place"]] = r["x"]
+    sent.unpersist()
+    return fitted(x, y, fold_of, lexicon)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs.
 
-    A null text is scored as an empty one; a null doc_id is not held out. Rows that share a
-    doc_id are scored each for itself. Without labels every score is 0. Other columns, lang
+    A null text is scored as an empty one; a null doc_id is not held out. Texts are scored
+    whole, however long. Rows that share a doc_id are scored each for itself. A doc_id that is
+    labelled twice is learnt from once, or not at all if its labels differ; the order of rows
+    and labels makes no difference (see train). Without labels every score is 0. Other columns, lang
     and source among them, are ignored; an empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, fit_rows))
