@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,11 @@ from loomrec.functions.vectors import add, dot, subtract
 CODEBOOK_VALUES = 8_000_000
 
 
+def codebook_values(codebook: DataFrame) -> int:
+    n, width = codebook.agg(F.count("*"), F.max(F.size("vector"))).first()
+    return n * (width or 0)
+
+
 def codebook_arrays(codebook: DataFrame) -> list[np.ndarray]:
     """One matrix a level. A codebook is a model: its size is checked, not assumed."""
     head = codebook.agg(F.count("*"), F.max(F.size("vector"))).first()
@@ -59,8 +65,11 @@ def _sent(codebook: DataFrame) -> DataFrame:
 def encode(vectors: DataFrame, codebook: DataFrame, key: str = "id", column: str = "embedding", keep: tuple[str, ...] = (), errors: bool = False) -> DataFrame:
     """key, columns to keep, codes (one a level) and residual, what is left of the vector after the last level.
 
-    With errors also the squared norms of what each level leaves.
+    With errors also the squared norms of what each level leaves. A codebook too large for every task meets the
+    vectors in blocks, level by level.
     """
+    if codebook_values(codebook) > CODEBOOK_VALUES:
+        return _encode_in_blocks(vectors, codebook, key, column, keep, errors)
     books = vectors.sparkSession.sparkContext.broadcast(codebook_arrays(codebook))
     names = [key, *keep]
     kinds = "".join(f"{c} {vectors.schema[c].dataType.simpleString()}, " for c in names) + "codes array<int>, residual array<double>" + ", errors array<double>" * errors
@@ -82,6 +91,80 @@ def encode(vectors: DataFrame, codebook: DataFrame, key: str = "id", column: str
     return vectors.select(*dict.fromkeys([*names, column])).mapInArrow(run, kinds)
 
 
+def _blocks_of(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """One row for each block of rows (key, r) of like length: number, least and largest length, keys, and the vectors' bytes."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for a in range(0, len(batch), block):
+                own = batch.slice(a, block)
+                x = own.column("r").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                order = np.argsort(np.array(own.column(key).to_pylist(), object), kind="stable")  # of equals the lowest comes first
+                length = np.sqrt((x**2).sum(1))
+                keys = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own.column(key).take(pa.array(order)))
+                data = [pa.array([part << 32 | number]), pa.array([float(length.min())]), pa.array([float(length.max())]), keys, pa.array([x[order].tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(data, names=["block", "low", "high", "keys", "x"])
+                number += 1
+
+    ranges = max(1, min(100_000, -(-rows.count() // block)))
+    length = F.sqrt(dot(F.col("r"), F.col("r")))
+    placed = rows.select(key, "r").repartitionByRange(ranges, length, F.col(key)).sortWithinPartitions(length, key)
+    return placed.mapInArrow(run, f"block long, low double, high double, keys array<{kind}>, x binary")
+
+
+def nearest_in_blocks(rows: DataFrame, codes: DataFrame, key: str = "id", block: int = 4096) -> DataFrame:
+    """key and code, the nearest of codes (code, r) to each of rows (key, r), the lowest of equals, whatever the number of codes.
+
+    A block of rows first meets the block of codes of the most like lengths. The distances found there bound the
+    difference in length that any nearer code can have, so that only such blocks of codes are met in a second pass.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    own = _blocks_of(rows, key, block).persist()
+    stock = _blocks_of(codes, "code", block).select(F.col("block").alias("book"), F.col("low").alias("b_low"), F.col("high").alias("b_high"), F.col("keys").alias("codes"), F.col("x").alias("book_x")).persist()
+    gap = F.greatest(F.lit(0.0), F.col("b_low") - F.col("high"), F.col("low") - F.col("b_high"))
+    # numbers and lengths of blocks only
+    ends = own.select("block", "low", "high", F.lit(0).alias("_one")).join(stock.select("book", "b_low", "b_high", F.lit(0).alias("_one")), "_one").select("block", "book", gap.alias("gap"))
+    first = ends.groupBy("block").agg(F.min_by("book", F.struct("gap", "book")).alias("book"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                keys, codes = batch.column("keys")[i].values, batch.column("codes")[i].values.to_numpy()
+                x = np.frombuffer(batch.column("x")[i].as_py()).reshape(len(keys), -1)
+                book = np.frombuffer(batch.column("book_x")[i].as_py()).reshape(len(codes), -1)
+                at = nearest_rows(x, book)
+                d = ((x - book[at]) ** 2).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), batch.column("block")[i].as_py())), keys, pa.array(d), pa.array(codes[at].astype(np.int32))], names=["block", key, "d", "code"])
+
+    def met(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(own, "block").join(stock, "book").repartition("block", "book")
+        return both.select("block", "keys", "x", "codes", "book_x").mapInArrow(run, f"block long, {key} {kind}, d double, code int")
+
+    ahead = met(first).persist()
+    reach = ahead.groupBy("block").agg(F.max(F.sqrt("d")).alias("reach"))
+    rest = ends.join(first.select("block", F.col("book").alias("_first")), "block").where("book <> _first").join(reach, "block").where(F.col("gap") <= F.col("reach") * (1 + 1e-9)).select("block", "book")
+    found = ahead.unionByName(met(rest)).groupBy(key).agg(F.min(F.struct("d", "code")).alias("m")).select(key, "m.code").persist()
+    found.count()
+    for held in (own, stock, ahead):
+        held.unpersist()
+    return found
+
+
+def _encode_in_blocks(vectors: DataFrame, codebook: DataFrame, key: str, column: str, keep: tuple[str, ...], errors: bool) -> DataFrame:
+    """encode by nearest_in_blocks; key tells rows apart. The codes found of each level stay persisted."""
+    levels = [r["level"] for r in codebook.select("level").distinct().orderBy("level").collect()]
+    out = vectors.select(key, *keep, F.transform(column, lambda v: v.cast("double")).alias("r"), F.array().cast("array<int>").alias("codes"), F.array().cast("array<double>").alias("errors"))
+    for level in levels:
+        book = codebook.where(F.col("level") == level).select("code", F.transform("vector", lambda v: v.cast("double")).alias("r"))
+        found = nearest_in_blocks(out.select(key, "r"), book, key)
+        left = subtract(F.col("r"), F.col("_v"))
+        out = out.join(found, key).join(book.select("code", F.col("r").alias("_v")), "code").withColumn("r", left)
+        out = out.select(key, *keep, "r", F.concat("codes", F.array("code")).alias("codes"), F.concat("errors", F.array(dot(F.col("r"), F.col("r")))).alias("errors"))
+    return out.select(key, *keep, "codes", F.col("r").alias("residual"), *(["errors"] if errors else []))
+
+
 def nearest_code(vectors: DataFrame, codebook: DataFrame, level: int = 0, key: str = "id", column: str = "embedding") -> DataFrame:
     one = codebook.where(F.col("level") == level).withColumn("level", F.lit(0))
     return encode(vectors, one, key, column).select(key, F.col("codes")[0].alias("code"))

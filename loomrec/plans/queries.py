@@ -137,9 +137,11 @@ def missing_items_anti(spark, sf):
     return one.select(F.lit(values[0]).cast("long").alias("missing_items"), F.lit(values[1]).cast("long").alias("unused_items"), "volume_share", F.lit(values[2]).cast("long").alias("common"))
 
 
-@query(f"""with {CATALOG}, {INTER} select distinct item_id from inter where item_id not in (select id from catalog where about is not null) order by item_id limit 10""")
+@query(f"""with {CATALOG}, {INTER} select distinct item_id, p_name as item_name from inter join part on cast(p_partkey as varchar) = item_id where item_id not in (select id from catalog where about is not null) order by item_id limit 10""")
 def missing_items_sample(spark, sf):
-    return prep.missing(fx.inter(spark, sf), fx.catalog(spark, sf).where("about is not null"), "item_id", "id").orderBy("item_id").limit(10)
+    names = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("item_name"))
+    gone = prep.missing(fx.inter(spark, sf), fx.catalog(spark, sf).where("about is not null"), "item_id", "id")
+    return gone.select("item_id").join(names, "item_id").distinct().orderBy("item_id").limit(10)
 
 
 @query(f"with {CATALOG}, {INTER} select id, name, price from catalog where id in (select item_id from inter)")
@@ -701,18 +703,29 @@ def pairwise_cosine(spark, sf):
     return out.select("pairs", F.round("largest", 6).alias("largest"))
 
 
-@query(None)
+@query(f"""with {_V}, {_BOOK}, n as (select level, code, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from book), s as (select level, 1.5 / avg(norm) as scale from n group by level)
+select level || '_' || code as token, 96 as width, round(n.norm * scale, 6) as norm, round(scale * scale * list_sum(list_transform(list_zip(n.v, z.v), lambda p: p[1] * p[2])), 6) as with_first
+from n join s using (level) join (select level, v from n where code = 0) z using (level)
+union all select '<|sid_start|>', 96, 1.5, null union all select '<|sid_end|>', 96, 1.5, null""")
 def token_vectors(spark, sf):
-    grounded = tokenize.grounded_vectors(fx.fixed_codebook(spark, sf), 96, 1.5).select(F.concat_ws("_", "level", "code").alias("token"), "vector")
-    marks = tokenize.distinct_vectors(tasks.special_tokens(spark).where("ord < 2"), 96, 1.5)
-    return grounded.unionByName(marks).select("token", F.size("vector").alias("width"), F.round(vectors.norm(F.col("vector")), 6).alias("norm"))
-
-
-@query(None)
+    """Lengths of the vectors of tokens, and their products with the first of their level, which a turn does not change."""
+    grounded = tokenize.grounded_vectors(fx.fixed_codebook(spark, sf), 96, 1.5)
+    first = grounded.where("code = 0").select("level", F.col("vector").alias("z"))
+    grounded = grounded.join(first, "level").select(F.concat_ws("_", "level", "code").alias("token"), "vector", F.round(vectors.dot(F.col("vector"), F.col("z")), 6).alias("with_first"))
+    marks = tokenize.distinct_vectors(tasks.special_tokens(spark).where("ord < 2"), 96, 1.5).withColumn("with_first", F.lit(None).cast("double"))
+    return grounded.unionByName(marks).select("token", F.size("vector").alias("width"), F.round(vectors.norm(F.col("vector")), 6).alias("norm"), "with_first")
+
+
+@query(f"""with clean as ({ORACLE['clean_catalog']}), w as (select id, unnest(list_filter(regexp_split_to_array(lower(text_for_embedding), '[\\s]+'), lambda w: w <> '')) as w from clean),
+h as (select id, md5(w) as h from w), c as (select id, cast('0x' || substr(h, 15, 2) as bigint) % 64 as c, sum(case when substr(h, 1, 1) >= '8' then 1 else -1 end) as v from h group by all),
+n as (select id, sqrt(sum(v * v)) as norm from c group by id)
+select clean.id, 64 as width, coalesce(round(max(case when c = 0 then v end) / greatest(max(norm), 1e-12), 4), 0) as first, coalesce(round(max(case when c = 33 then v end) / greatest(max(norm), 1e-12), 4), 0) as middle, coalesce(round(max(case when c = 63 then v end) / greatest(max(norm), 1e-12), 4), 0) as last
+from clean left join c on c.id = clean.id left join n on n.id = clean.id group by clean.id""")
 def embedded_catalog(spark, sf):
-    df = prep.with_text_field(fx.catalog(spark, sf)).select("id", "text_for_embedding")
+    df = prep.with_text_field(prep.drop_blank_names(fx.catalog(spark, sf))).select("id", "text_for_embedding")
     out = tokenize.embed(df, "text_for_embedding", tokenize.hashing_encoder())
-    return out.select("id", F.size("embedding").alias("width"), F.round(vectors.norm(vectors.doubles(F.col("embedding"))), 4).alias("norm"))
+    at = lambda k: F.round(F.col("embedding")[k].cast("double"), 4) + 0.0
+    return out.select("id", F.size("embedding").alias("width"), at(0).alias("first"), at(33).alias("middle"), at(63).alias("last"))
 
 
 # decoding and evaluation
