@@ -1,7 +1,7 @@
 """Operator 3: secrets, by patterns and by a battery of randomness tests.
 
-Three patterns give the base spans. Besides, every run of encoding characters is tested:
-its encoding is inferred, and chi-squared uniformity over that alphabet, a runs test and a
+Three patterns give the base spans. Besides, every run of LEAST_RUN and more encoding characters
+is tested: its encoding is inferred, and chi-squared uniformity over that alphabet, a runs test and a
 lag-one serial correlation are combined to a score (high: nothing speaks against random).
 Every document also gives a few decoys, its ordinary text cut to an alphabet and length, to
 the same battery. Within each encoding and class of lengths, the share of decoys that score
@@ -30,7 +30,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 HINTS = ("password", "passwd", "secret", "token", "api")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Characters from which on a run is tested: shorter ones leave the battery too few symbols.
+LEAST_RUN = 20
+RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_RUN},}}={{0,2}}")
 WORDS = re.compile(r"[A-Za-z]+")
 ALPHABETS = {
     "decimal": "0123456789",
@@ -137,29 +139,38 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 
 
 def decoys(text: str) -> list[tuple[int, int, int]]:
-    """(number of the encoding, length class, score bin) of DECOYS pieces of ordinary text.
+    """(number of the encoding, length class, score bin) of DECOYS pieces of ordinary text, from places of the whole text by hash.
 
     Words of letters stand for prose; for alphabets of capitals in capitals, for digits by their
     letters' places in the alphabet. A text with too little prose gives fewer.
     """
-    prose = "".join(WORDS.findall(text[: DECOYS * 16 * DECOY_LENGTHS[-1]]))
     first = zlib.crc32(text.encode("utf-8", "surrogatepass"))
     out = []
     for k in range(DECOYS):
         kind, length = divmod((first + k * 17) % (len(NAMES) * len(DECOY_LENGTHS)), len(DECOY_LENGTHS))
-        n, index = DECOY_LENGTHS[length], INDEX[NAMES[kind]]
-        # far more prose than one decoy needs, from places of its own: hexadecimal digits are a quarter of it
-        own = prose[k * len(prose) // DECOYS :]
-        if NAMES[kind] == "decimal":
-            own = "".join(str((ord(c) | 32) % 10) for c in own)
-        elif "a" not in index:
-            own = own.upper()
-        own = "".join(c for c in own if c in index)[:n]
+        n = DECOY_LENGTHS[length]
+        own = _cut(text, (first >> 3 ^ k * 0x9E3779B1) % max(1, len(text)), NAMES[kind], n)
         if len(own) == n:
             out.append((kind, length_class(n), int(score(own, NAMES[kind]) * BINS)))
     return out
 
 
+def _cut(text: str, at: int, encoding: str, n: int) -> str:
+    """The first n letters of prose from a place of text on, and from its start on behind its end, that an encoding has."""
+    index, own = INDEX[encoding], ""
+    for start, end in ((at, len(text)), (0, at)):
+        for m in WORDS.finditer(text, start, end):
+            word = m[0]
+            if encoding == "decimal":
+                word = "".join(str((ord(c) | 32) % 10) for c in word)
+            elif "a" not in index:
+                word = word.upper()
+            own += "".join(c for c in word if c in index)
+            if len(own) >= n:
+                return own[:n]
+    return own
+
+
 def _listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -235,7 +246,10 @@ def find_secrets(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
 
     A null text counts as empty and has no spans; its digest is that of the empty string. Texts
     are searched whole, however long. Rows that share a doc_id are judged each for itself. A run
-    that touches a base span adds nothing. As a p-value is at least 1 / (1 + decoys), a corpus of
+    that touches a base span adds nothing, nor does one of under LEAST_RUN characters. A run of
+    under 25 symbols leaves uniformity four cells only, so that lower-case keys of that length
+    read like prose and are found seldom. An encoding and class of lengths with under
+    LEAST_DECOYS decoys is held to those of all encodings of the class, or of all classes. As a p-value is at least 1 / (1 + decoys), a corpus of
     so little prose that it gives under 1 / fdr decoys has no random spans. Other columns are
     ignored; an empty table gives an empty result.
     """
