@@ -456,8 +456,8 @@ def joint_split(spark, sf):
 @query(f"""{_ROWS}, few as (select * from rows_ where split = 'train' and task in ('grounding_id2name', 'grounding_name2id') order by {hash_sql('stage1', 'task', 'key', 'cast(copy as varchar)')}, task, key, copy limit 20000)
 select task, key as _key, copy, 'Below is a task with its input. Write the answer.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Input:' || chr(10) || input || chr(10) || chr(10) || '### Response:' || chr(10) as prompt, output as completion from few""")
 def training_sample(spark, sf):
-    df = tasks.training_sample(_dataset(spark, sf), 20_000, 0, grounding_only=True)
-    return df.select("task", "_key", "copy", text.alpaca_prompt(F.col("instruction"), F.col("input")).alias("prompt"), F.col("output").alias("completion"))
+    """The first stage's sample by its default settings, of grounding tasks only."""
+    return drivers.warmup_dataset(_dataset(spark, sf), schedule.WarmupConfig(grounding_only=True), "")
 
 
 # vectors and codes
