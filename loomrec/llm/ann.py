@@ -227,7 +227,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shard_rows: int = S
     its own candidate, and has fewer rows if there are fewer candidates. Vectors that are
     null, empty or zero, or hold a null or a number that isn't finite, take no part, nor do
     rows without a vec_id. Rows that repeat a vec_id count as one, the least by components. A
-    query meets vectors of its own width only. Other columns are ignored.
+    query meets vectors of its own width only. Other columns are ignored; an empty table gives an
+    empty result.
     """
     rows = materialize(usable(vectors), "vectors")
     graphs = materialize(index(rows, shard_rows, k + 1), "graphs")

@@ -102,7 +102,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, weights: dict[int, floa
     size: UTF-8 bytes of the text plus 8; a null text has none and the checksum 0. The law is
     ``key``: doc_id and the number of shards decide, and one more shard takes rows only into
     itself. Rows that share a doc_id share a shard and have slots of their own; a null doc_id
-    has one shard too. Other columns are ignored; an empty table gives an empty result.
+    has one shard too. Texts count whole, however long. Other columns are ignored; an empty table
+    gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
