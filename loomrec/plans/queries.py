@@ -809,12 +809,6 @@ def decoded_names(spark, sf):
     return out.select("query", "rank", "tokens", F.round("logp", 6).alias("logp"))
 
 
-def _held_out(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Interactions but the last item of each user, and that item."""
-    seq = fx.seq(spark, sf).where("n >= 2")
-    return seq.where("pos < n"), seq.where("pos = n").select(F.lit("sequential").alias("task"), F.col("user_id").alias("query"), F.col("item_id").alias("target"))
-
-
 _HELD = SEQ + """, pop as (select item_id, row_number() over (order by count(*) desc, item_id) as r from seq where n >= 2 and pos < n group by item_id),
 held as (select user_id, item_id from seq where n >= 2 and pos = n)"""
 
@@ -824,9 +818,8 @@ select 'sequential' as task, cast(k as integer) as k, count(*) as n, round(avg(c
 from held left join pop using (item_id), k group by k""")
 def recall_ndcg_popularity(spark, sf):
     """Flagship: the popularity baseline on each user's held-out last item."""
-    inside, targets = _held_out(spark, sf)
-    top = evaluate.popular_items(inside, 10)
-    out = evaluate.metrics(evaluate.with_popular(targets, top))
+    seq = fx.seq(spark, sf).where("n >= 2")
+    out = evaluate.popularity_metrics(seq, "sequential", F.col("pos") == F.col("n"))
     return out.select("task", "k", "n", F.round("recall", 6).alias("recall"), F.round("ndcg", 6).alias("ndcg"))
 
 

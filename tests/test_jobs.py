@@ -111,3 +111,18 @@ def test_examples_by_task_in_the_order_of_files(spark, tmp_path):
         (f.parent / f.name).write_text(json.dumps({"input": 5}) + "\n{")
     assert {r.task for r in files.read_tasks(spark, f"{tmp_path}/out", "a", "c").collect()} == {"a", "c"}
     assert files.read_tasks(spark, f"{tmp_path}/out").where("task = 'c'").count() == 60
+
+
+def test_popularity_of_items_held_out(spark):
+    """Counted in one pass as candidates by candidate, ties, items without targets and no targets at all included."""
+    from loomrec.operators import evaluate
+
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(f"i{min(int(x), 25)}", int(k) % 5 == 0) for k, x in enumerate(rng.geometric(0.12, 700))], "item_id string, held boolean")
+    top = evaluate.popular_items(rows.where("not held"), 10)
+    want = evaluate.metrics(evaluate.with_popular(rows.where("held").select(F.lit("t").alias("task"), F.col("item_id").alias("target")), top))
+    key = lambda df: sorted((r.task, r.k, r.n, round(r.recall, 9), round(r.ndcg, 9)) for r in df.collect())
+    assert key(evaluate.popularity_metrics(rows, "t", F.col("held"))) == key(want)
+    assert evaluate.popularity_metrics(rows.where("not held"), "t", F.col("held")).count() == 0
+    alone = evaluate.popularity_metrics(rows.where("held"), "t", F.col("held")).collect()
+    assert [r.recall for r in alone] == [0, 0]
