@@ -140,6 +140,7 @@ def embed_job(df: DataFrame, key: str, column: str, encoder: Callable[[list[str]
         if (turn, part) in done:
             continue
         todo = spark.read.schema(given).parquet(f"{path}/input-{turn}").where(F.col("_part") == part).select(key, column)
+        todo = todo.sortWithinPartitions(F.desc(F.coalesce(F.length(column), F.lit(0))))  # what comes to the encoder at once is of like lengths
         folder = f"{path}/embeddings/turn={turn}/part={part}"
         embed(todo, column, encoder).select(key, "embedding").write.mode("overwrite").parquet(folder)
         rows, checksum = spark.read.schema(kind).parquet(folder).agg(F.count("*"), F.sum(F.xxhash64(key, "embedding").cast("decimal(38,0)"))).first()
