@@ -217,26 +217,33 @@ FOUND = "query_id long, vec_id long, score long"
 
 
 def _searched(k: int):
-    """Blocks of queries, each with its shelf, to what they find there."""
+    """Shelves, sorted by the block of queries that each is to be searched for, to what a block finds in all shelves of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, asked, q, lengths, best = None, None, None, None, None
+
+        def found() -> pa.RecordBatch:
+            at, place = np.nonzero(best.ids >= 0)
+            columns = [pa.array(c) for c in (asked[at], best.ids[at, place], best.score[at, place])]
+            return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for row in range(len(batch)):
-                get = lambda name: batch.column(name)[row]  # noqa: E731, B023
-                dim = get("dim").as_py()
-                ids = np.frombuffer(get("ids").as_py(), np.int64)
-                x = np.frombuffer(get("vectors").as_py(), np.int64).reshape(-1, dim)
-                asked = np.frombuffer(get("asked").as_py(), np.int64)
-                q = np.frombuffer(get("queries").as_py(), np.int64).reshape(-1, dim)
-                least = np.frombuffer(get("least").as_py(), np.float64)
-                real = q.astype(np.float64)
-                lengths = np.sqrt((real**2).sum(1))
-                best = Best(len(asked), k, least)
+                get = lambda name: batch.column(name)[row].as_py()  # noqa: E731, B023
+                dim = get("dim")
+                if get("block") != block:
+                    if best is not None:
+                        yield found()
+                    block, asked = get("block"), np.frombuffer(get("asked"), np.int64)
+                    q = np.frombuffer(get("queries"), np.int64).reshape(-1, dim).astype(np.float64)
+                    lengths = np.sqrt((q**2).sum(1))
+                    best = Best(len(asked), k, np.frombuffer(get("least"), np.float64))
+                ids = np.frombuffer(get("ids"), np.int64)
+                x = np.frombuffer(get("vectors"), np.int64).reshape(-1, dim)
                 for a in range(0, len(ids), BUCKET_ROWS):
-                    visit(Bucket(ids[a : a + BUCKET_ROWS], x[a : a + BUCKET_ROWS]), asked, real, lengths, best)
-                at, place = np.nonzero(best.ids >= 0)
-                columns = [pa.array(c) for c in (asked[at], best.ids[at, place], best.score[at, place])]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+                    visit(Bucket(ids[a : a + BUCKET_ROWS], x[a : a + BUCKET_ROWS]), asked, q, lengths, best)
+        if best is not None:
+            yield found()
 
     return run
 
@@ -278,11 +285,14 @@ def _meet(asked: DataFrame, stock: DataFrame, k: int, block_rows: int) -> DataFr
     size = F.octet_length  # eight bytes an id
     pairs = blocks.select("block", "dim", "easiest", size("asked").alias("q")).join(stock.select("shelf", "dim", "longest", size("ids").alias("x")), "dim")
     pairs = materialize(pairs.where(F.col("longest") * (1 + EPS) >= F.col("easiest")).select("block", "shelf", (F.col("q") / 8.0 * F.col("x") / 8.0).alias("work")), "pairs")
-    both = pairs.join(blocks, "block").join(stock.select("shelf", "ids", "vectors"), "shelf")
+    both = pairs.join(blocks, "block").join(stock.select("shelf", "longest", "ids", "vectors"), "shelf")
     work = pairs.agg(F.sum("work")).first()[0] or 0.0
     known = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.repartition(max(known, min(100_000, math.ceil(work / TASK_PRODUCTS))), "block", "shelf")
-    found = materialize(dealt.select("dim", "asked", "queries", "least", "ids", "vectors").mapInArrow(tidy(_searched(k)), FOUND), "found")
+    tasks = max(known, min(100_000, math.ceil(work / TASK_PRODUCTS)))
+    # a block's shelves come to as many tasks as there are for each block, so that what it finds is merged before it is dealt again
+    slots = max(1, math.ceil(tasks / max(1, blocks.count())))
+    dealt = both.repartition(tasks, "block", F.pmod(F.xxhash64("shelf"), F.lit(slots))).sortWithinPartitions("block", F.desc("longest"), "shelf")
+    found = materialize(dealt.select("block", "dim", "asked", "queries", "least", "ids", "vectors").mapInArrow(tidy(_searched(k)), FOUND), "found")
     release(blocks, pairs)
     return found
 
