@@ -37,3 +37,28 @@ def test_a_tree_is_bounded_by_its_nodes(spark):
     paths = spark.range(50).select(F.concat(F.array_repeat(F.lit("same"), 20), F.array(F.col("id").cast("string"))).alias("tokens")).repartition(7)
     flat = decode.tree(paths, most=20 + 50 + 50)  # a shared beginning counts once
     assert len(flat.token) == 121 and np.diff(flat.first[:21]).min() > 0
+
+
+def _rows(spark):
+    seq = spark.range(4000).select((F.col("id") % 97).cast("string").alias("user_id"), ((F.col("id") * 7) % 31).cast("string").alias("item_id")).distinct()
+    return seq.withColumns({"pos": F.col("item_id").cast("int") + 1, "n": F.lit(31)}), spark.range(30).select(F.col("id").cast("string").alias("id"))
+
+
+def test_pairs_are_counted_where_they_are_made(spark):
+    seq, known = _rows(spark)
+    got = pairs.cooccurrence(seq, known, parts=3)
+    assert sorted(got.collect()) == sorted(pairs.cooccurrence(seq, known).collect()) and got.count() > 100
+    assert "hashpartitioning(a#" in plan_of(got) and not any("Exchange" in x and ", b#" in x for x in plan_of(got).splitlines())
+
+
+def test_partners_run_the_pairs_once(spark):
+    seq, known = _rows(spark)
+    found = pairs.cooccurrence(seq, known)
+    assert plan_of(pairs.partners(found)).count("Range (") == plan_of(found).count("Range (")
+
+
+def test_interactions_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(plans.fx, "TASK_ROWS", 1000)
+    plan = plan_of(plans.history_target_pairs(spark, default_dir()))
+    n = plans.fx.parts(spark, default_dir())
+    assert n > 1 and "hashpartitioning(user_id" in plan and plan.count(f", {n}), REPARTITION_BY_NUM") >= 4
