@@ -62,3 +62,13 @@ def test_interactions_are_dealt_by_rows(spark, monkeypatch):
     plan = plan_of(plans.history_target_pairs(spark, default_dir()))
     n = plans.fx.parts(spark, default_dir())
     assert n > 1 and "hashpartitioning(user_id" in plan and plan.count(f", {n}), REPARTITION_BY_NUM") >= 4
+
+
+def test_the_dataset_is_capped_and_split_by_its_keys(spark):
+    plan = plan_of(plans.sft_dataset(spark, default_dir()))
+    assert "_key" in plan and "instruction" not in plan and "history" not in plan
+
+
+def test_a_sample_of_grounding_makes_no_pairs(spark):
+    plan = plan_of(plans.training_sample(spark, default_dir()))
+    assert "p_partkey" in plan and "l_orderkey" not in plan
