@@ -11,6 +11,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from loomrec.llm.common import list_column, partitions_for, scratch, tidy, utf8_parts
 
 ROW_SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
-_CACHE_ENTRIES = 1_500_000
+#: Pieces a worker keeps; beyond them the half met first stays, which holds the frequent ones.
+_CACHE_ENTRIES = 500_000
 #: Pieces that go through the library as one text.
 _JOINED = 512
 _PLAIN, _LETTER, _STOP, _GAP, _LEAD2, _TAIL, _LEAD4 = (1 << i for i in range(7))
@@ -62,12 +64,13 @@ class _Encoder:
             self.opens[[v for k, v in vocabulary.items() if k.startswith(blank)]] = True
             self.feeds = np.zeros_like(self.opens)
             self.feeds[self._ids("\n")[:1]] = True
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.ends = np.zeros(1 << 20, "<u4"), np.zeros((1 << 18) + 1, np.int64)
 
+    def _forget(self) -> None:
+        # pieces are numbered as they were met, so that the numbers of those that stay still hold
+        self.known = dict(islice(self.known.items(), _CACHE_ENTRIES // 2))
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 

@@ -1,8 +1,11 @@
 """Work and shuffles that must not grow faster than the input."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from loomrec.llm import token_output
+from loomrec.llm.queries import tokenizer_file
 from loomrec.operators import decode, pairs
 from loomrec.plans import queries as plans
 from loomrec.session import default_dir
@@ -72,3 +75,13 @@ def test_the_dataset_is_capped_and_split_by_its_keys(spark):
 def test_a_sample_of_grounding_makes_no_pairs(spark):
     plan = plan_of(plans.training_sample(spark, default_dir()))
     assert "p_partkey" in plan and "l_orderkey" not in plan
+
+
+def test_kept_pieces_are_bounded_and_the_first_stay(monkeypatch):
+    monkeypatch.setattr(token_output, "_CACHE_ENTRIES", 100)
+    encoder = token_output._Encoder(tokenizer_file("byte_bpe_50k.json"))
+    for k in range(5):
+        texts = ["the first words stay"] + [f"word{i} of {k}" for i in range(k * 60, k * 60 + 60)]
+        ids, sizes = encoder.encode(pa.array(texts))
+        assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == [list(x) for x in encoder.whole(texts)]
+        assert b" words" in encoder.known and len(encoder.known) <= 100 + 130
