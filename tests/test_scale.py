@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from loomrec.llm import token_output
@@ -85,3 +86,10 @@ def test_kept_pieces_are_bounded_and_the_first_stay(monkeypatch):
         ids, sizes = encoder.encode(pa.array(texts))
         assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == [list(x) for x in encoder.whole(texts)]
         assert b" words" in encoder.known and len(encoder.known) <= 100 + 130
+
+
+@pytest.mark.parametrize("name", ["probes", "sequential_examples", "asy_examples", "rebalance_floor_ceiling", "exposure_cap"])
+def test_what_reads_the_pairs_is_dealt_by_rows(spark, monkeypatch, name):
+    monkeypatch.setattr(plans.fx, "TASK_ROWS", 1000)
+    n = plans.fx.parts(spark, default_dir())
+    assert n > 1 and plan_of(plans.QUERIES[name](spark, default_dir())).count(f", {n}), REPARTITION_BY_NUM") >= 4
