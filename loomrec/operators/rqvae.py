@@ -3,28 +3,33 @@
 A step is one job: tasks take their rows of the batch through the model, backwards, and sum up
 gradients, losses and usage; the sums of all tasks meet in chunks of the parameters, so that no
 task adds up a whole model of every other. Only these sums, of the model's size, come to the
-driver, which moves the parameters and sends them out for the next step.
+driver, which moves the parameters and sends them out for the next step. An epoch's batches are
+dealt once, to files of their own, so that a step reads its batch and not the whole table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomrec.functions.determinism import hash_key, pick
 from loomrec.functions.schedule import CodebookConfig, Position, Schedule
 from loomrec.operators import codebook_train, quantize, rebalance
 from loomrec.operators.semantic_ids import collisions
+from loomrec.session import discard, scratch
 from loomrec.sources.files import append_metrics, load_model, save_model
 
 #: Parameters that are summed up together.
 CHUNK = 1 << 14
+#: Rows of a batch in a task.
+TASK_ROWS = 1 << 13
 EPS = 1e-6
 
 
@@ -353,10 +358,12 @@ def evaluated(rows: DataFrame, model: Model, config: CodebookConfig) -> dict[str
 
 
 def prepared(vectors: DataFrame, config: CodebookConfig, key: str = "id", column: str = "embedding") -> tuple[DataFrame, DataFrame, int]:
-    """Training and validation rows (id, x), persisted, and the number of training rows; the shares go by hash of the key."""
-    rows = vectors.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), F.transform(column, lambda v: v.cast("double")).alias("x"))
-    split = rebalance.split_rows(rows.select("id"), config.val_share, config.seed, "id")
-    marked = rows.join(split, "id").persist()
+    """Training and validation rows (id, x), persisted, and the number of training rows; the shares go by hash of the key.
+
+    Rows without a key or a vector are left out.
+    """
+    rows = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).alias("id"), F.transform(column, lambda v: v.cast("double")).alias("x"))
+    marked = rebalance.split_rows(rows, config.val_share, config.seed, "id").persist()
     train, val = (marked.where(F.col("split") == s).select("id", "x") for s in ("train", "val"))
     return train, val, train.count()
 
@@ -368,12 +375,12 @@ def start(train: DataFrame, n: int, config: CodebookConfig) -> Trainer:
         raise ValueError(f"vectors must have width {width}")
     model = initial(width, config)
     if config.kmeans:
-        first = batch_of(train, n, config, 0, 0)
+        first = batch_of(train, n, config, 0, 0).repartition(_tasks(n, config), "id")
         sent = train.sparkSession.sparkContext.broadcast(replace(model, books=[]))
         book = codebook_train.train(mapped(first, sent), config.levels, config.size, tuple(range(config.starts)), "z")
         for r in book.collect():  # a codebook
             model.books[r["level"]][r["code"]] = r["vector"]
-    steps = max(1, -(-n // config.batch)) * config.epochs
+    steps = _batches(n, config) * config.epochs
     return Trainer(model, config, Position(Schedule(steps, config.warmup, config.start, config.peak, config.least, config.schedule)))
 
 
@@ -389,10 +396,39 @@ def mapped(rows: DataFrame, model: Broadcast) -> DataFrame:
     return rows.select("id", "x").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, z array<double>")
 
 
+def _batches(n: int, config: CodebookConfig) -> int:
+    return max(1, -(-n // config.batch))
+
+
+def _tasks(n: int, config: CodebookConfig) -> int:
+    """Tasks of one batch."""
+    return max(1, -(-min(n, config.batch) // TASK_ROWS))
+
+
+def _place(n: int, config: CodebookConfig, epoch: int) -> Column:
+    """The batch that a row falls into: each epoch deals them anew, by hash."""
+    return pick(_batches(n, config), config.seed, f"epoch{epoch}", F.col("id"))
+
+
 def batch_of(train: DataFrame, n: int, config: CodebookConfig, epoch: int, number: int) -> DataFrame:
-    """The rows of a batch of an epoch: each epoch deals them anew, by hash."""
-    batches = max(1, -(-n // config.batch))
-    return train if batches == 1 else train.where(pick(batches, config.seed, f"epoch{epoch}", F.col("id")) == number)
+    """The rows of one batch of an epoch, found among all rows."""
+    return train if _batches(n, config) == 1 else train.where(_place(n, config, epoch) == number)
+
+
+@contextmanager
+def dealt(train: DataFrame, n: int, config: CodebookConfig, epoch: int) -> Iterator[Callable[[int], DataFrame]]:
+    """What gives the rows of a batch of an epoch by its number: the rows are dealt once, and a batch's read from a folder of its own."""
+    if _batches(n, config) == 1:
+        yield lambda number: train
+        return
+    spark, path = train.sparkSession, scratch(train.sparkSession, "epoch")
+    placed = train.withColumns({"batch": _place(n, config, epoch), "_piece": pick(_tasks(n, config), config.seed, "piece", F.col("id"))})
+    try:
+        placed.repartition(_batches(n, config), "batch", "_piece").drop("_piece").write.partitionBy("batch").parquet(path)
+        rows = spark.read.schema(placed.drop("_piece").schema).parquet(path)
+        yield lambda number: rows.where(F.col("batch") == number).select("id", "x")
+    finally:
+        discard(spark, path)
 
 
 def train(vectors: DataFrame, config: CodebookConfig, path: str | None = None, run: str = "rqvae", resume: bool = False, until: int | None = None, key: str = "id", column: str = "embedding") -> tuple[Trainer, list[dict[str, object]]]:
@@ -406,7 +442,7 @@ def train(vectors: DataFrame, config: CodebookConfig, path: str | None = None, r
     rows, held_out, n = prepared(vectors, config, key, column)
     if not n:
         raise ValueError("there are no vectors to train on")
-    batches = max(1, -(-n // config.batch))
+    batches = _batches(n, config)
     trainer, first = None, 0
     if resume and path:
         found = _last_epoch(spark, path)
@@ -421,9 +457,10 @@ def train(vectors: DataFrame, config: CodebookConfig, path: str | None = None, r
             append_metrics(spark, f"{path}/metrics", run, step, prefix, metrics)
 
     for epoch in range(first, min(config.epochs, until or config.epochs)):
-        for number in range(batches):
-            step = epoch * batches + number
-            note("train", step + 1, trainer.step(batch_of(rows, n, config, epoch, number), step))
+        with dealt(rows, n, config, epoch) as batch:
+            for number in range(batches):
+                step = epoch * batches + number
+                note("train", step + 1, trainer.step(batch(number), step))
         if (epoch + 1) % config.val_every == 0:
             metrics = evaluated(held_out, trainer.model, config)
             note("val", (epoch + 1) * batches, metrics)

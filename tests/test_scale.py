@@ -5,9 +5,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loomrec.functions import schedule
 from loomrec.llm import token_output
 from loomrec.llm.queries import tokenizer_file
-from loomrec.operators import decode, pairs
+from loomrec.operators import decode, pairs, rqvae
 from loomrec.plans import queries as plans
 from loomrec.session import default_dir
 
@@ -93,3 +94,28 @@ def test_what_reads_the_pairs_is_dealt_by_rows(spark, monkeypatch, name):
     monkeypatch.setattr(plans.fx, "TASK_ROWS", 1000)
     n = plans.fx.parts(spark, default_dir())
     assert n > 1 and plan_of(plans.QUERIES[name](spark, default_dir())).count(f", {n}), REPARTITION_BY_NUM") >= 4
+
+
+def test_a_step_reads_its_batch_only(spark, monkeypatch):
+    vectors = spark.range(400).select("id", F.array(*(F.sin(F.col("id") * k) for k in range(1, 5))).alias("embedding")).persist()
+    config = schedule.CodebookConfig(levels=1, size=4, width=2, hidden=(3,), batch=100, epochs=2, warmup=1, starts=1, reset_every=0, val_share=0.1)
+    seen, summed, epoch = [], rqvae.summed, 4
+
+    def watched(rows, *more):
+        seen.append((plan_of(rows), sorted(r.id for r in rows.collect())))
+        return summed(rows, *more)
+
+    monkeypatch.setattr(rqvae, "summed", watched)
+    train, _, n = rqvae.prepared(vectors, config)
+    rqvae.train(vectors, config)
+    assert n == 360 and len(seen) == 2 * epoch
+    for k, (plan, ids) in enumerate(seen):
+        assert "PartitionFilters" in plan and "InMemoryTableScan" not in plan and "md5" not in plan
+        assert ids == sorted(r.id for r in rqvae.batch_of(train, n, config, k // epoch, k % epoch).collect())
+
+
+def test_marks_are_not_joined_to_vectors(spark):
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in [*range(40), 7]], "id long, embedding array<double>")
+    train, held_out, n = rqvae.prepared(vectors, schedule.CodebookConfig(val_share=0.1))
+    assert n == train.count() and n + held_out.count() == 41  # a key that two rows share makes no further rows
+    assert "Join" not in plan_of(train)
