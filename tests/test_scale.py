@@ -96,6 +96,16 @@ def test_what_reads_the_pairs_is_dealt_by_rows(spark, monkeypatch, name):
     assert n > 1 and plan_of(plans.QUERIES[name](spark, default_dir())).count(f", {n}), REPARTITION_BY_NUM") >= 4
 
 
+@pytest.mark.parametrize("name", ["probes", "sequential_examples", "asy_examples"])
+def test_items_of_histories_are_dealt_by_rows(spark, monkeypatch, name):
+    want = sorted(plans.QUERIES[name](spark, default_dir()).collect())
+    monkeypatch.setattr(plans.fx, "TASK_ROWS", 1000)
+    n, got = plans.fx.parts(spark, default_dir()), plans.QUERIES[name](spark, default_dir())
+    dealt = [x for x in plan_of(got).splitlines() if f", {n}), REPARTITION_BY_NUM" in x]
+    assert n > 1 and any("hashpartitioning(id#" in x for x in dealt) and any("hashpartitioning(user_id#" in x and ", pos#" in x for x in dealt)
+    assert sorted(got.collect()) == want
+
+
 def test_a_step_reads_its_batch_only(spark, monkeypatch):
     vectors = spark.range(400).select("id", F.array(*(F.sin(F.col("id") * k) for k in range(1, 5))).alias("embedding")).persist()
     config = schedule.CodebookConfig(levels=1, size=4, width=2, hidden=(3,), batch=100, epochs=2, warmup=1, starts=1, reset_every=0, val_share=0.1)
