@@ -1,5 +1,8 @@
 """Work and shuffles that must not grow faster than the input."""
 
+import itertools
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -129,3 +132,17 @@ def test_marks_are_not_joined_to_vectors(spark):
     train, held_out, n = rqvae.prepared(vectors, schedule.CodebookConfig(val_share=0.1))
     assert n == train.count() and n + held_out.count() == 41  # a key that two rows share makes no further rows
     assert "Join" not in plan_of(train)
+
+
+def test_cooccurrence_is_of_all_items_of_all_users(spark):
+    """Neither long sequences nor what comes late in them, nor partners after the tenth, are left out."""
+    users = {}
+    for r in plans.fx.inter(spark, default_dir()).select("user_id", "item_id").collect():
+        users.setdefault(r.user_id, set()).add(r.item_id)
+    count = Counter(p for s in users.values() for p in itertools.combinations(sorted(s), 2))
+    want = {(*p, n) for p, n in count.items() if n > 1}
+    assert max(map(len, users.values())) > 60
+    assert {(r.a, r.b, r.n) for r in plans.cooccurrence(spark, default_dir()).collect()} == want
+    partners = Counter(x for a, b, _ in want for x in (a, b))
+    found = plans.similar_partners(spark, default_dir()).collect()
+    assert Counter(r["item"] for r in found) == partners and max(r["rank"] for r in found) == max(partners.values()) > 10
