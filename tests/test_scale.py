@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomrec.functions import schedule
-from loomrec.llm import token_output
+from loomrec.llm import components, neardup, token_output
 from loomrec.llm.queries import tokenizer_file
 from loomrec.operators import decode, pairs, rqvae
 from loomrec.plans import queries as plans
@@ -146,3 +146,33 @@ def test_cooccurrence_is_of_all_items_of_all_users(spark):
     partners = Counter(x for a, b, _ in want for x in (a, b))
     found = plans.similar_partners(spark, default_dir()).collect()
     assert Counter(r["item"] for r in found) == partners and max(r["rank"] for r in found) == max(partners.values()) > 10
+
+
+def test_visitors_are_compared_by_shingles(monkeypatch):
+    """Long documents are compared fewer at a time, and a task gives out its forest when it is full; the links stay."""
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 250)
+    monkeypatch.setattr(neardup, "NODES", 4)
+    own, seen = neardup.link_matrix, []
+    monkeypatch.setattr(neardup, "link_matrix", lambda sets, percent: seen.append(sum(map(len, sets))) or own(sets, percent))
+    sets = [np.arange(k % 5 * 1000, k % 5 * 1000 + 100) for k in range(40)]
+    away = [k >= 5 for k in range(40)]
+    whole = pa.RecordBatch.from_arrays([pa.array([1] * 40), pa.array([0] * 40), pa.array(away), pa.array(range(40)), pa.array(range(40)), pa.array(sets)], names=["cluster", "block", "away", "rep", "comp", "hashes"])
+    out = list(neardup._exact_edges(85)(iter([whole.slice(k, 8) for k in range(0, 40, 8)])))
+    assert max(seen) <= 500 + 250 + 100 and len(out) > 2 and max(map(len, out)) < 20
+    forest = components.Forest()
+    for batch in out:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+            forest.join(a, b)
+    assert all(forest.find(k) == k % 5 for k in range(40))
+
+
+def test_clusters_of_long_documents_have_more_blocks(spark, monkeypatch):
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join([f"own{k}", *words])) for k in range(30)] + [(100 + k, " ".join([f"few{k}", *words[:40]])) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 2000)
+    placed, own = [], neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name: placed.append(df.agg(F.max("blocks")).first()[0]) or own(df, name) if name == "clusters" else own(df, name))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert placed[0] >= 6
+    assert got == {k: 0 for k in range(30)} | {100 + k: 100 for k in range(3)}
