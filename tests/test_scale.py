@@ -176,3 +176,9 @@ def test_clusters_of_long_documents_have_more_blocks(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
     assert placed[0] >= 6
     assert got == {k: 0 for k in range(30)} | {100 + k: 100 for k in range(3)}
+
+
+def test_no_text_is_kept_for_the_dataset_of_keys(spark):
+    """Neither texts of documents nor descriptions are read for it: a cached table of items held them all."""
+    plan = plan_of(plans.sft_dataset(spark, default_dir()))
+    assert "genre_set" in plan and not any(x in plan for x in ("long_desc", "blurb", "text:string"))
