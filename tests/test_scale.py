@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomrec.functions import schedule
 from loomrec.llm import components, neardup, token_output
 from loomrec.llm.queries import tokenizer_file
-from loomrec.operators import decode, pairs, rqvae
+from loomrec.operators import decode, pairs, rqvae, tasks
 from loomrec.plans import queries as plans
 from loomrec.session import default_dir
 
@@ -182,3 +182,26 @@ def test_no_text_is_kept_for_the_dataset_of_keys(spark):
     """Neither texts of documents nor descriptions are read for it: a cached table of items held them all."""
     plan = plan_of(plans.sft_dataset(spark, default_dir()))
     assert "genre_set" in plan and not any(x in plan for x in ("long_desc", "blurb", "text:string"))
+
+
+def test_histories_are_not_shuffled_by_target(spark):
+    """The longest texts of the dataset meet the rows where they are made."""
+    rows = spark.createDataFrame([("sequential", "b", "u:2", 0, "train", "u:2"), ("asy", "b", "u:2", 0, "val", "u:2")], "task string, _target string, _key string, copy int, split string, _source string")
+    own = spark.createDataFrame([("u", 2, ["a", "b"])], "user_id string, pos int, history array<string>")
+    items = spark.createDataFrame([(c, f"<{c}>", c, c * 2, c * 3) for c in "ab"], "id string, sid string, name string, short_desc string, long_desc string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = tasks.written(rows, own, items, only=("sequential", "asy"))
+        assert sorted((r.task, r.input, r.output) for r in out.collect()) == [("asy", "<a> <b>", "bb"), ("sequential", "<a> <b>", "<b>")]
+        lines = plan_of(tasks.written(rows, own, items, only=("sequential", "asy"))).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    k = next(i for i, x in enumerate(lines) if "collect_list(struct(i" in x)
+    above, at = [], depth(lines[k])
+    for x in reversed(lines[:k]):
+        if depth(x) < at:
+            above.append(x)
+            at = depth(x)
+    assert above and not any("hashpartitioning(_target" in x for x in above)
